@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from gridloom.llm import apportion, bin_packing, chat_format, secret_ledger
+from gridloom.llm import apportion, bin_packing, chat_format, fertility, secret_ledger
 
-MODULES = (chat_format, secret_ledger, apportion, bin_packing)
+MODULES = (chat_format, secret_ledger, apportion, fertility, bin_packing)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLES = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
