@@ -44,3 +44,13 @@ def remainder(doc_id: Column | str, divisor: int) -> Column:
     """crc32 of the id as text, modulo divisor; a null id counts as the empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % divisor
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, held_out: int, limit: int) -> DataFrame:
+    """At most `limit` rows (doc_id, text, label) to learn from: those whose remainder isn't
+    `held_out`, with a label of 0 or 1, in the order of a hash of their ids.
+
+    The ids are bounded by `limit`, so they are broadcast; the texts are read where they lie."""
+    usable = labels.where(F.col(label).isin(0, 1) & (remainder("doc_id", divisor) != held_out) & F.col("doc_id").isNotNull())
+    chosen = usable.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("_id"), "_id", "label").limit(limit)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")
