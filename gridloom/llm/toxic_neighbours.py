@@ -1,6 +1,7 @@
 """Toxicity from the nearest labelled examples.
 
-Examples and texts are TF-IDF vectors over the words that tell the classes apart in the examples. The
+Examples and texts are TF-IDF vectors over the words, and beginnings of words, that tell the classes
+apart in the examples. The
 examples with the largest cosine are found exactly with a block-max inverted index: examples with
 like words stand together in blocks, each word knows its largest weight in every block, and the sum
 of these bounds what any example of a block can reach. Blocks are scored in the order of their bounds
@@ -8,10 +9,10 @@ until no bound reaches the last neighbour found. Votes of the neighbours, weight
 are calibrated on the examples, each scored by the others, and returned with the neighbours as
 evidence.
 
-Words and vectors come from at most EXAMPLES labelled rows; the word counts are made on the executors.
+Terms and vectors come from at most EXAMPLES labelled rows; the term counts are made on the executors.
 
-Defined results: a null or empty text, and one without any of the index's words, has no neighbours and
-gets the calibrated share among such examples; equal cosines go to the smaller doc_id; repeated rows
+Defined results: a null or empty text is the vector of the end of the text alone, as is one without any
+of the index's terms; equal cosines go to the smaller doc_id; repeated rows
 are scored each for itself; without labelled rows of both classes every score is the smoothed share of
 label 1, 0.5 without any; an empty table gives an empty frame.
 """
@@ -21,11 +22,11 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import labelled_sample, remainder, table
@@ -33,13 +34,20 @@ from gridloom.llm.common import labelled_sample, remainder, table
 DIVISOR, HELD_OUT = 5, 0
 #: Labelled rows in the index, at most.
 EXAMPLES = 12_000
-#: Words in the index, at most, and the least evidence (G statistic) that one tells the classes apart.
-WORDS = 1024
-LEAST_EVIDENCE = 40.0
+#: Terms in the index, at most, and the least evidence (G statistic) that one tells the classes apart.
+TERMS = 512
+LEAST_EVIDENCE = 30.0
 LEAST_TEXTS = 5
 NEIGHBOURS = 11
 BLOCK = 64
 
+#: A term must be this much likelier in the texts of one label than in those of the other.
+LEAST_RATIO = 3.0
+#: Beginnings of words that are terms beside the words: insults are inflected.
+PREFIXES = range(3, 9)
+#: The end of a text is a term too, in every text; its weight keeps apart texts with one hit and many.
+END_WEIGHT = 6.0
+
 _SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
 
@@ -48,50 +56,74 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode().translate(_SPACED).split()
 
 
-def vector_of(text: str, number: dict[bytes, int], idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Word numbers, ascending, and weights of unit length."""
-    counts = Counter(filter(None.__ne__, map(number.get, words_of(text))))
-    if not counts:
-        return np.zeros(0, int), np.zeros(0)
-    at = np.array(sorted(counts))
-    weight = (1 + np.log([counts[i] for i in at])) * idf[at]
-    return at, weight / math.sqrt(float(weight @ weight))
+def terms_of(word: bytes) -> list[str]:
+    """The word, closed by a dollar sign, and its beginnings."""
+    letters = word.decode()
+    return [letters + "$", *(letters[:n] for n in PREFIXES if n <= len(letters))]
+
+
+class Terms:
+    """Numbers of the index's terms; the last number is the end of the text."""
+
+    def __init__(self, number: dict[str, int], idf: np.ndarray):
+        self.number, self.idf, self.known = number, idf, {}
+
+    def of(self, word: bytes) -> tuple[int, ...]:
+        found = self.known.get(word)
+        if found is None:
+            if len(self.known) > 400_000:
+                self.known.clear()
+            found = self.known[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number)
+        return found
+
+    def counts(self, text: str) -> tuple[tuple[int, int], ...]:
+        """(term, count), ascending."""
+        total: Counter[int] = Counter()
+        of = self.of
+        for word, n in Counter(words_of(text)).items():
+            for term in of(word):
+                total[term] += n
+        return tuple(sorted(total.items()))
+
+    def vector(self, counts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
+        """Term numbers, ascending, and weights of unit length."""
+        at = np.array([t for t, _ in counts] + [len(self.number)])
+        weight = np.array([(1 + math.log(n)) * self.idf[t] for t, n in counts] + [END_WEIGHT])
+        return at, weight / math.sqrt(float(weight @ weight))
 
 
 @dataclass
 class Index:
     """Example vectors in blocks, and each word's largest weight per block."""
 
-    number: dict[bytes, int]
-    idf: np.ndarray
+    terms: Terms
     weights: np.ndarray  # examples x words
     most: np.ndarray  # blocks x words
     ids: np.ndarray
     labels: np.ndarray
     prior: float
     knots: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
-    without: float = 0.5
+    found: dict = field(default_factory=dict)
 
     @classmethod
-    def build(cls, vectors: list[tuple[int, int, np.ndarray, np.ndarray]], number: dict[bytes, int], idf: np.ndarray, prior: float) -> Index:
-        """vectors: (doc_id, label, word numbers, weights). Examples whose weightiest words agree come
+    def build(cls, vectors: list[tuple[int, int, np.ndarray, np.ndarray]], terms: Terms, prior: float) -> Index:
+        """vectors: (doc_id, label, term numbers, weights). Examples whose weightiest terms agree come
         together."""
 
         def theme(v: tuple[int, int, np.ndarray, np.ndarray]) -> tuple:
             heavy = np.lexsort((v[2], -v[3]))[:3]
             return (*v[2][heavy].tolist(), v[0])
 
-        vectors = sorted((v for v in vectors if len(v[2])), key=theme)
-        weights = np.zeros((len(vectors), len(number)))
+        vectors = sorted(vectors, key=theme)
+        weights = np.zeros((len(vectors), len(terms.number) + 1))
         for row, (_, _, at, w) in zip(weights, vectors):
             row[at] = w
         starts = range(0, len(vectors), BLOCK)
-        most = np.array([weights[s : s + BLOCK].max(0) for s in starts]).reshape(len(starts), len(number))
-        return cls(number, idf, weights, most, np.array([v[0] for v in vectors], np.int64), np.array([v[1] for v in vectors], float), prior)
+        most = np.array([weights[s : s + BLOCK].max(0) for s in starts]).reshape(len(starts), weights.shape[1])
+        return cls(terms, weights, most, np.array([v[0] for v in vectors], np.int64), np.array([v[1] for v in vectors], float), prior)
 
-    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS, but: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples with a positive cosine, without row `but`;
-        equal ones by doc_id."""
+    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
+        """Rows and cosines of the k nearest examples with a positive cosine; equal ones by doc_id."""
         if not len(at) or not len(self.ids):
             return np.zeros(0, int), np.zeros(0)
         bounds = self.most[:, at] @ weight
@@ -103,7 +135,7 @@ class Index:
                 break
             own = np.arange(block * BLOCK, min((block + 1) * BLOCK, len(self.ids)))
             found = np.round(self.weights[own][:, at] @ weight, 12)
-            keep = (found > 0) & (found >= last if len(rows) == k else True) & (own != but)
+            keep = (found > 0) & (found >= last if len(rows) == k else True)
             rows, cosines = np.concatenate([rows, own[keep]]), np.concatenate([cosines, found[keep]])
             best = np.lexsort((self.ids[rows], -cosines))[:k]
             rows, cosines = rows[best], cosines[best]
@@ -117,11 +149,15 @@ class Index:
 
     def calibrate(self) -> None:
         """Isotonic regression of the examples' labels on their votes by the others."""
-        votes = []
+        votes, asked = [], {}
         for row in range(len(self.ids)):
             at = np.flatnonzero(self.weights[row])
-            rows, cosines = self.nearest(at, self.weights[row, at], but=row)
-            votes.append(self.vote(rows, cosines))
+            key = self.weights[row].tobytes()
+            if key not in asked:  # with one more, for the example itself
+                asked[key] = self.nearest(at, self.weights[row, at], NEIGHBOURS + 1)
+            rows, cosines = asked[key]
+            others = (rows != row).nonzero()[0][:NEIGHBOURS]
+            votes.append(self.vote(rows[others], cosines[others]))
         order = np.lexsort((self.labels, votes)) if votes else []
         pools: list[list[float]] = []  # votes summed, labels summed, count
         for i in order:
@@ -134,34 +170,30 @@ class Index:
         self.knots = (x, np.maximum.accumulate(y) if len(y) else y)
 
     def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
-        """Calibrated score, then rows and cosines of the neighbours."""
-        rows, cosines = self.nearest(*vector_of(text, self.number, self.idf))
-        if not len(rows) or not len(self.knots[0]):
-            return self.without, rows, cosines
-        return float(np.interp(self.vote(rows, cosines), *self.knots)), rows, cosines
-
-
-def evidence(n: int, k: int, nt: int, kt: int) -> float:
-    """G statistic of a word in k of n texts of label 0 and kt of nt texts of label 1."""
-    total, both = n + nt, k + kt
-    g = 0.0
-    for seen, size, hits in ((k, n, both), (kt, nt, both), (n - k, n, total - both), (nt - kt, nt, total - both)):
-        if seen and hits:
-            g += seen * math.log(seen * total / (size * hits))
-    return 2 * g
+        """Calibrated score, then rows and cosines of the neighbours. Texts with equal terms, most
+        have none, are looked up once."""
+        if not len(self.knots[0]):
+            return self.prior, np.zeros(0, int), np.zeros(0)
+        counts = self.terms.counts(text)
+        if counts not in self.found:
+            if len(self.found) > 20_000:
+                self.found.clear()
+            rows, cosines = self.nearest(*self.terms.vector(counts))
+            self.found[counts] = (float(np.interp(self.vote(rows, cosines), *self.knots)), rows, cosines)
+        return self.found[counts]
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of each label per word, of one partition."""
+    """Texts of each label per term, of one partition."""
     by = (Counter(), Counter())
     for batch in batches:
         for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            by[label].update(set(words_of(text or "")))
+            by[label].update({t for w in set(words_of(text or "")) for t in terms_of(w)})
     words = list(by[0].keys() | by[1].keys())
     for s in range(0, len(words), 50_000):
         own = words[s : s + 50_000]
         yield pa.RecordBatch.from_arrays(
-            [pa.array(own, pa.binary()), pa.array([by[0][w] for w in own], pa.int64()), pa.array([by[1][w] for w in own], pa.int64())], names=["word", "k", "kt"]
+            [pa.array(own, pa.string()), pa.array([by[0][w] for w in own], pa.int64()), pa.array([by[1][w] for w in own], pa.int64())], names=["word", "k", "kt"]
         )
 
 
@@ -173,37 +205,45 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n, nt = sizes.get(0, 0), sizes.get(1, 0)
     prior = (nt + 0.5) / (n + nt + 1)
-    number: dict[bytes, int] = {}
-    idf = np.zeros(0)
-    if n and nt:
-        counted = rows.select("text", "label").mapInArrow(_counts, "word binary, k bigint, kt bigint").groupBy("word").agg(F.sum("k").alias("k"), F.sum("kt").alias("kt"))
-        told = counted.where(F.col("k") + F.col("kt") >= LEAST_TEXTS)
-        part = lambda seen, size, hits: F.when((seen > 0) & (hits > 0), seen * F.log(seen * float(n + nt) / (size * hits))).otherwise(0.0)
-        both, rest = F.col("k") + F.col("kt"), F.lit(n + nt) - F.col("k") - F.col("kt")
-        g = 2 * (part(F.col("k"), F.lit(n), both) + part(F.col("kt"), F.lit(nt), both) + part(n - F.col("k"), F.lit(n), rest) + part(nt - F.col("kt"), F.lit(nt), rest))
-        best = told.withColumn("g", g).where(F.col("g") >= LEAST_EVIDENCE).orderBy(F.desc("g"), "word").limit(WORDS).collect()
-        number = {bytes(r["word"]): i for i, r in enumerate(best)}
-        idf = np.log((n + nt + 1) / (np.array([r["k"] + r["kt"] for r in best], float) + 1)) + 1
+    if not n or not nt:
+        return Index.build([], Terms({}, np.zeros(0)), prior)
+    counted = rows.select("text", "label").mapInArrow(_counts, "word string, k bigint, kt bigint").groupBy("word").agg(F.sum("k").alias("k"), F.sum("kt").alias("kt"))
+    k, kt = F.col("k"), F.col("kt")
+
+    def part(seen: Column, size: int, hits: Column) -> Column:
+        return F.when((seen > 0) & (hits > 0), seen * F.log(seen * float(n + nt) / (size * hits))).otherwise(0.0)
+
+    # The G statistic of a term in k of n texts of label 0 and in kt of nt texts of label 1.
+    g = 2 * (part(k, n, k + kt) + part(kt, nt, k + kt) + part(n - k, n, n + nt - k - kt) + part(nt - kt, nt, n + nt - k - kt))
+    ratio = ((kt + 0.5) / nt) / ((k + 0.5) / n)
+    told = counted.where((k + kt >= LEAST_TEXTS) & ((ratio >= LEAST_RATIO) | (ratio <= 1 / LEAST_RATIO))).withColumn("g", g)
+    best = told.where(F.col("g") >= LEAST_EVIDENCE).orderBy(F.desc("g"), "word").limit(8 * TERMS).collect()
+    chosen: dict[str, tuple[int, int]] = {}
+    for r in best:
+        # What a chosen beginning of the term says as surely adds nothing.
+        shorter = [chosen[r["word"][:m]] for m in range(min(PREFIXES), len(r["word"])) if r["word"][:m] in chosen]
+        if len(chosen) < TERMS and not any(b[1] * (r["k"] + r["kt"]) >= 0.95 * r["kt"] * (b[0] + b[1]) for b in shorter):
+            chosen[r["word"]] = (r["k"], r["kt"])
+    idf = np.log((n + nt + 1) / (np.array([sum(c) for c in chosen.values()], float) + 1)) + 1
+    terms = Terms({w: i for i, w in enumerate(chosen)}, idf)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [vector_of(t or "", number, idf) for t in batch.column(1).to_pylist()]
+            made = [terms.vector(terms.counts(t or "")) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([m[0].tolist() for m in made], pa.list_(pa.int32())), pa.array([m[1].tolist() for m in made], pa.list_(pa.float64()))],
                 names=["doc_id", "label", "at", "weight"],
             )
 
-    found = rows.select("doc_id", "text", "label").mapInArrow(vectors, "doc_id bigint, label int, at array<int>, weight array<double>").collect() if number else []
-    index = Index.build([(r["doc_id"], r["label"], np.array(r["at"], int), np.array(r["weight"])) for r in found], number, idf, prior)
-    bare = [r["label"] for r in found if not r["at"]]
-    index.without = (sum(bare) + prior) / (len(bare) + 1) if n + nt else 0.5
+    found = rows.select("doc_id", "text", "label").mapInArrow(vectors, "doc_id bigint, label int, at array<int>, weight array<double>").collect()
+    index = Index.build([(r["doc_id"], r["label"], np.array(r["at"], int), np.array(r["weight"])) for r in found], terms, prior)
     index.calibrate()
     return index
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, score and evidence (doc_id, label, cosine of the neighbours) per row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES x WORDS
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES x TERMS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
