@@ -19,11 +19,19 @@ empty table gives an empty frame.
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from gridloom.llm.common import WORD, materialise, table
 
+_WORDS = re.compile(WORD)
+
 WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 LIMIT = 2
@@ -144,6 +152,49 @@ def taken_of(place: Column, size: Column, block_tokens: int) -> Column:
     return F.when(F.col("blocks") > 0, upto(place + size) - upto(place)).otherwise(0).cast("long")
 
 
+def slices(text: str, place: int, whole: int, part: int, blocks: int, start: int, block_tokens: int) -> list[str]:
+    """The texts a document gives to the mix: itself for each whole pass, then its words in drawn blocks,
+    the stretches between left out."""
+    out = [text] * whole
+    spans = [m.span() for m in _WORDS.finditer(text)]
+    if spans and part:
+        at = np.arange(place, place + len(spans)) // block_tokens
+        drawn = ((at + 1) * part + start) // blocks > (at * part + start) // blocks
+        edge = np.flatnonzero(np.diff(np.concatenate([[False], drawn, [False]]).astype(np.int8)))
+        pieces = [text[spans[a][0] : spans[b - 1][1]] for a, b in zip(edge[::2], edge[1::2])]
+        if pieces:
+            out.append("\n".join(pieces))
+    return out
+
+
+def _texts(batches: Iterator[pa.RecordBatch], block_tokens: int) -> Iterator[pa.RecordBatch]:
+    names = ("place", "whole", "part", "blocks", "start")
+    for batch in batches:
+        rows, texts = [], []
+        for k, (text, *how) in enumerate(zip(batch.column("text").to_pylist(), *(batch.column(c).to_pylist() for c in names))):
+            given = slices(text or "", *how, block_tokens)
+            texts += given
+            rows += [k] * len(given)
+        yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(rows, pa.int64())), pa.array(texts, pa.string())], names=["row", "text"])
+
+
+def apply(docs: DataFrame, block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: str = SEED) -> DataFrame:
+    """The mix of docs (with doc_id, source, text and n_chars): each document as often, and with as much
+    of its text, as is taken; documents of which nothing is taken go."""
+    rid = F.xxhash64("doc_id", "text")
+    taken = mix(docs.select(rid.alias("rid"), "source", "text"), "rid", block_tokens, shard_tokens, seed)
+    how = F.struct("place", "whole", "part", "blocks", "start")
+    # Repeated rows share their rid: each takes one of its places.
+    places = taken.where(F.col("taken") > 0).groupBy(F.col("doc_id").alias("_rid")).agg(F.array_sort(F.collect_list(how)).alias("how"))
+    rows = docs.select(F.struct("*").alias("row"), "text", rid.alias("rid"))
+    rows = rows.withColumn("nth", F.row_number().over(Window.partitionBy("rid").orderBy(F.xxhash64("row"))))
+    found = rows.join(places, F.col("rid") == F.col("_rid")).withColumn("how", F.try_element_at("how", F.col("nth"))).where(F.col("how").isNotNull())
+    given = found.select("row", "text", "how.*")
+    texts = given.mapInArrow(lambda batches: _texts(batches, block_tokens), StructType([given.schema["row"], StructField("text", StringType())]))
+    fields = {"text": F.col("text"), "n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)}
+    return texts.select(*[fields.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
 def op5_apportion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The mix over all of `documents`."""
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")

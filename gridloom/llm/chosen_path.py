@@ -25,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialise, table
+from gridloom.llm.common import WORD, materialise, table
 from gridloom.llm.components import components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -309,9 +309,10 @@ def _tokens(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in names), pa.array([m.tobytes() for m in made], pa.binary())], names=[*names, "tokens"]).filter(kept)
 
 
-def join(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
-    """Per row of docs (doc_id, text): doc_id, class_id (the smallest doc_id of the documents that links
-    connect it with) and n_links (documents at the threshold or above, copies included)."""
+def link(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, rid (hash of id and text), root (one value per group of
+    linked documents, null without words) and n_links (documents at the threshold or above, copies
+    included)."""
     rid = F.xxhash64("doc_id", "text")
     runs = runs_for(recall, threshold)
     rows = docs.select("doc_id", "text", rid.alias("rid"))
@@ -361,11 +362,30 @@ def join(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, rec
     )
     by_row = of_text.distinct().join(linked, "signature", "left").select(F.col("rid").alias("_rid"), "root", "n_links")
     known = rows.select("doc_id", "rid").join(by_row, F.col("rid") == F.col("_rid"), "left").select("doc_id", "rid", "root", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    known = materialise(known, "known")
+    return materialise(known, "known")
+
+
+def join(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """Per row of docs (doc_id, text): doc_id, class_id (the smallest doc_id of the documents that links
+    connect it with) and n_links (documents at the threshold or above, copies included)."""
+    known = link(docs, size, threshold, recall)
     least = known.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return known.join(least, "root", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links")
 
 
+def keep_one(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The rows of docs, of each group of linked documents only the one with the smallest doc_id; rows
+    without words all stay."""
+    known = link(docs.select("doc_id", "text"), size, threshold, recall)
+    first = known.where(F.col("root").isNotNull()).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid")).alias("first"))
+    chosen = first.select(F.col("first.rid").alias("_rid"))
+    wrapped = docs.select(F.struct("*").alias("row"), F.xxhash64("doc_id", "text").alias("rid"), F.coalesce(F.col("text").rlike(WORD), F.lit(False)).alias("worded"))
+    kept = wrapped.where("worded").join(chosen, F.col("rid") == F.col("_rid"), "left_semi")
+    # Repeated rows share their rid.
+    once = kept.withColumn("nth", F.row_number().over(Window.partitionBy("rid").orderBy(F.xxhash64("row")))).where("nth = 1")
+    return once.select("row.*").unionByName(wrapped.where(~F.col("worded")).select("row.*"))
+
+
 def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All `documents` on five-word shingles at a similarity of 0.8."""
     return join(table(spark, sf_dir, "documents"))

@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from gridloom.llm.common import labelled_sample, remainder, table
 from gridloom.llm.fertility import repeated
@@ -212,17 +213,21 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Gam:
 
 
 def score(docs: DataFrame, gam: Gam, text: str = "text") -> DataFrame:
-    """docs with `score`, the probability of label 1."""
-    at = docs.columns.index(text)
-    kept = [f for f in docs.schema.fields]
-    schema = type(docs.schema)([*kept]).add("score", "double")
+    """(row, score): the rows of docs as structs, so that their columns may have any name, and the
+    probability of label 1."""
+    wrapped = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = np.array([features(t or "") for t in batch.column(at).to_pylist()], float).reshape(batch.num_rows, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(gam.score(x))], names=[*batch.schema.names, "score"])
+            x = np.array([features(t or "") for t in batch.column(1).to_pylist()], float).reshape(batch.num_rows, len(FEATURES))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gam.score(x), pa.float64())], names=["row", "score"])
 
-    return docs.mapInArrow(run, schema)
+    return wrapped.mapInArrow(run, StructType([wrapped.schema["row"], StructField("score", DoubleType())]))
+
+
+def keep(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of docs that the classifier, trained on those with labels, takes for label 1."""
+    return score(docs, train(docs, labels, sample)).where(F.col("score") >= 0.5).select("row.*")
 
 
 def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -230,7 +235,7 @@ def op6_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     gam = train(docs, table(spark, sf_dir, "labels"))
     return score(docs, gam).select(
-        "doc_id", (remainder("doc_id", DIVISOR) == HELD_OUT).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
+        "row.doc_id", (remainder("row.doc_id", DIVISOR) == HELD_OUT).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted")
     )
 
 

@@ -166,6 +166,16 @@ def redact(docs: DataFrame, found: str = "found", text: str = "text", mark: str
     return docs.withColumn(text, F.when(F.size(flat) > 0, cleaned).otherwise(F.col(text)))
 
 
+def clean(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """docs (with text and n_chars) with every secret redacted; no row goes, none changes without one."""
+    wrapped = docs.select(F.struct("*").alias("row"), F.col("text"))
+    found = findings(wrapped, scan(wrapped, rules=rules), rules=rules)
+    done = redact(found).select("row", "text")
+    changed = F.when(F.col("text").isNull() | (F.col("text") == F.col("row.text")), F.col("row.n_chars")).otherwise(F.length("text"))
+    fields = {"text": F.col("text"), "n_chars": changed.cast(docs.schema["n_chars"].dataType)}
+    return done.select(*[fields.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
+
+
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every whole text of `documents`, each distinct text scanned once."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
