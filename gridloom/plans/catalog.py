@@ -1,4 +1,4 @@
-"""Registry of the queries over the library's own operators."""
+"""Registry of the queries over the library's own operators, each next to its SQL twin."""
 
 from __future__ import annotations
 
@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from gridloom.plans import grid_queries, log_queries, pixel_queries, relation_queries
+
 Query = Callable[[SparkSession, str], DataFrame]
 
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
+MODULES = (relation_queries, grid_queries, pixel_queries, log_queries)
+
+QUERIES: dict[str, Query] = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for module in MODULES for name, sql in module.ORACLES.items()}
