@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialise, table
+from gridloom.llm.common import materialise, slices, table
 from gridloom.llm.tokens import encoder
 
 CAPACITY = 2048
@@ -124,7 +124,7 @@ def _cut(batches: Iterator[pa.RecordBatch], capacity: int, end_id: int, tokenize
 
     part = TaskContext.get().partitionId()
     encode, end, nth = encoder(*tokenizer).ids, end_id.to_bytes(4, "little"), [0] * (capacity + 1)
-    for batch in batches:
+    for batch in slices(batches):
         out: list[list[int]] = [[] for _ in range(6)]
         for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             ids = encode(text or "") + end

@@ -15,7 +15,7 @@ TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 SPECIAL = "<|endoftext|>"
 #: Chunks kept per worker; a full cache starts anew.
-CACHE = 400_000
+CACHE = 150_000
 
 
 class _Chunks(dict):
@@ -37,9 +37,7 @@ class Encoder:
     """ids(text): the ids as little-endian unsigned 32-bit bytes."""
 
     def __init__(self, path: str, ranks_path: str | None):
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_file(path)
+        self.path, self.exact = path, None
         if ranks_path is None:
             self.encode = self._exact
         else:
@@ -52,6 +50,10 @@ class Encoder:
         self.chunks = _Chunks(self.encode)
 
     def _exact(self, text: str) -> list[int]:
+        if self.exact is None:
+            from tokenizers import Tokenizer
+
+            self.exact = Tokenizer.from_file(self.path)
         return self.exact.encode(text, add_special_tokens=False).ids
 
     def _bytes(self, ids: list[int]) -> bytes:
@@ -66,7 +68,7 @@ class Encoder:
         return self._bytes(self.encode(first)) + b"".join(map(self.chunks.__getitem__, rest))
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def encoder(path: str | None = None, ranks_path: str | None = None) -> Encoder:
     """The worker's encoder; without paths, for the public vocabulary."""
     if path is None:
