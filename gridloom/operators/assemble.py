@@ -62,5 +62,5 @@ def report(responses: DataFrame) -> DataFrame:
         F.format_string("Table dimensions: %dx%d", dims["rows"], dims["columns"]),
         F.lit("Table structure:"),
     )
-    lines = F.concat(head, F.transform("table.grid", F.to_json))
+    lines = F.concat(head, F.transform("table.grid", lambda row: F.to_json(row)))
     return responses.select("path", F.when(F.col("table").isNull(), F.array(F.coalesce("error", F.lit("No cells were detected.")))).otherwise(lines).alias("lines"))
