@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD, materialise, table
+from gridloom.llm.common import WORD, materialise, slices, table
 from gridloom.llm.components import components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -125,7 +125,7 @@ SCAN = "rid bigint, signature binary, path bigint, sketch binary"
 def _scan(batches: Iterator[pa.RecordBatch], size: int, runs: int, depth: int, branch: float) -> Iterator[pa.RecordBatch]:
     """A row (rid, signature) per text, and a row (signature, path, sketch) per path of a new set."""
     seen, start = set(), roots(runs)
-    for batch in batches:
+    for batch in slices(batches):
         rids, signatures, of_path, paths, sketches = [], [], [], [], []
         for rid, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             tokens = shingles(text, size)
@@ -302,7 +302,7 @@ def _verify(batch: pa.Table, size: int, threshold: float) -> pa.Table:
 
 
 def _tokens(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         made = [shingles(t, size) for t in batch.column("text").to_pylist()]
         names = ["signature", "group", "size", "copies"]
         kept = pa.array([_signature(m) == s for m, s in zip(made, batch.column("signature").to_pylist())], pa.bool_())
@@ -348,7 +348,8 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, rec
     groups = components(edges).select(F.col("node").alias("signature"), F.col("root").alias("group"))
     groups = groups.join(groups.groupBy("group").agg(F.count(F.lit(1)).alias("size")), "group").join(records, "signature")
     chosen = materialise(groups, "groups")
-    tokens = rows.select("rid", "text").join(chosen, "rid").select("text", "signature", "group", "size", "copies").mapInArrow(lambda batches: _tokens(batches, size), "signature binary, group binary, size bigint, copies bigint, tokens binary")
+    # By merge at every size: a broadcast of small groups would make a small run a different plan.
+    tokens = rows.select("rid", "text").hint("merge").join(chosen, "rid").select("text", "signature", "group", "size", "copies").mapInArrow(lambda batches: _tokens(batches, size), "signature binary, group binary, size bigint, copies bigint, tokens binary")
     tiles = _shards(_tiles(tokens, "group", "size", "signature"), "group", width)
     verified = materialise(tiles.select("shard", "group", "ti", "tj", "signature", "chunk", "copies", "tokens", "many").groupBy("shard").applyInArrow(lambda t: _verify(t, size, threshold), VERIFIED), "verified")
     counts = verified.groupBy("signature").agg(F.sum("n").alias("n"))
