@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm.common import table
+from gridloom.llm.common import slices, table
 
 VOCABULARY = "piece_bpe_32k.model"
 SPACE = " \t\n\x0b\x0c\r"
@@ -33,7 +33,7 @@ MIN_WORDS = 10
 REPEAT_PERCENT = 20
 WINDOW = 5
 #: Words kept per worker; a full cache starts anew.
-CACHE = 400_000
+CACHE = 200_000
 
 
 @dataclass(frozen=True)
@@ -171,7 +171,7 @@ def _measurer(path: str | None) -> Measurer:
 def _measure(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa.RecordBatch]:
     own = _measurer(path)
     names = [c.split()[0] for c in COLUMNS.split(", ")]
-    for batch in batches:
+    for batch in slices(batches):
         rows = [own.measure(text or "") for text in batch.column(1).to_pylist()]
         columns = zip(*rows) if rows else [[]] * len(_KINDS)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, _KINDS))], names=names)

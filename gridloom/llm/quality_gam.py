@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from gridloom.llm.common import labelled_sample, remainder, table
+from gridloom.llm.common import labelled_sample, remainder, slices, table
 from gridloom.llm.fertility import repeated
 
 DIVISOR, HELD_OUT = 3, 1
@@ -197,7 +197,7 @@ def fit(x: np.ndarray, y: np.ndarray, bins: int = 32, coarse: int = 8, rounds: i
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [features(t or "") for t in batch.column(0).to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.float64())), batch.column(1)], names=["x", "label"])
 
@@ -218,7 +218,7 @@ def score(docs: DataFrame, gam: Gam, text: str = "text") -> DataFrame:
     wrapped = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([features(t or "") for t in batch.column(1).to_pylist()], float).reshape(batch.num_rows, len(FEATURES))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(gam.score(x), pa.float64())], names=["row", "score"])
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import labelled_sample, remainder, table
+from gridloom.llm.common import labelled_sample, remainder, slices, table
 
 DIVISOR, HELD_OUT = 5, 0
 #: Labelled rows in the index, at most.
@@ -248,7 +248,7 @@ def score(docs: DataFrame, index: Index) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
-        for batch in batches:
+        for batch in slices(batches):
             scores, shown = [], []
             for text in batch.column(1).to_pylist():
                 s, rows, cosines = own.score(text or "")
