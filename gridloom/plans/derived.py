@@ -25,14 +25,13 @@ def boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.sql(f"WITH {BOXES_SQL} SELECT * FROM boxes".replace("lineitem)", "{lines})"), lines=read(spark, sf_dir, "lineitem").select(*columns))
 
 
-ATTEMPTS_SQL = """attempts AS (SELECT user_id AS cell, event_id AS ord,
-  CASE WHEN event_id % 17 = 0 THEN '' ELSE event_type END AS txt, least(value, 100.0) AS conf
-  FROM events WHERE event_id % 50 < 6)"""
+ATTEMPTS_SQL = """attempts AS (SELECT CAST(floor(event_id / 6.0) AS BIGINT) AS cell, event_id AS ord,
+  CASE WHEN event_id % 17 = 0 THEN '' ELSE event_type END AS txt, least(value, 100.0) AS conf FROM events)"""
 
 
 def attempts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """cell, ord, txt, conf: recognition attempts, with ties."""
-    return spark.sql(f"WITH {ATTEMPTS_SQL} SELECT * FROM attempts".replace("events", "{events}"), events=read(spark, sf_dir, "events"))
+    """cell, ord, txt, conf: recognition attempts, six a cell, with ties."""
+    return spark.sql(f"WITH {ATTEMPTS_SQL} SELECT * FROM attempts".replace("FROM events)", "FROM {events})"), events=read(spark, sf_dir, "events"))
 
 
 WORDS_SQL = """words AS (SELECT conv_id, turn, pos, w,

@@ -30,12 +30,12 @@ def blank_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.blank(D.gray(spark, sf_dir))
 
 
-@register("gray_convert", """, t AS (SELECT a.img, a.y, b.v AS bv, a.v AS gv, c.v AS rv FROM gray a JOIN gray b ON b.img = a.img AND b.y = a.y AND b.x = 0
-  JOIN gray c ON c.img = a.img AND c.y = a.y AND c.x = 2 WHERE a.x = 1) SELECT img, y, CAST(floor((bv*114 + gv*587 + rv*299 + 500) / 1000.0) AS INT) AS v FROM t""")
+@register("gray_convert", """ SELECT a.img, a.x, a.y, CAST(floor((a.v*114 + coalesce(b.v, a.v)*587 + coalesce(c.v, a.v)*299 + 500) / 1000.0) AS INT) AS v FROM gray a
+  LEFT JOIN gray b ON b.img = a.img AND b.y = a.y AND b.x = a.x + 1 LEFT JOIN gray c ON c.img = a.img AND c.y = a.y AND c.x = a.x + 2""")
 def gray_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first three pixels of each row taken for the channels of one."""
-    channels = [F.max(F.when(F.col("x") == k, V)).alias(c) for k, c in enumerate("bgr")]
-    return D.gray(spark, sf_dir).groupBy("img", "y").agg(*channels).select("img", "y", P.grey(F.col("b"), F.col("g"), F.col("r")).alias("v"))
+    """A pixel and the two to its right taken for the channels of one, itself where there is none."""
+    green, red = (F.coalesce(F.lead("v", k).over(P.row()), V) for k in (1, 2))
+    return D.gray(spark, sf_dir).select("img", "x", "y", P.grey(V, green, red).alias("v"))
 
 
 @register("fixed_thr", " SELECT img, x, y, CASE WHEN v > 250 THEN 0 ELSE 255 END AS v FROM gray")
