@@ -151,6 +151,8 @@ class Lattices:
 
     def __init__(self, pieces: list[str], weights: dict[str, float]):
         self.single = Lattice(weights)
+        if len(pieces) >= 65535:
+            raise ValueError("a slot has room for 16 bits of a piece's number")
         self.pieces = pieces
         self.usable = [k for k, p in enumerate(pieces) if not is_byte(p)]
         self.longest = self.single.longest
@@ -161,34 +163,34 @@ class Lattices:
             for c in pieces[k]:
                 h = (h * int(self.BASE) + ord(c) + 1) & 0xFFFFFFFFFFFFFFFF
             hashes[h] = k
+        # A slot holds the upper 48 bits of a spread hash and the number of its piece; 0 is an empty slot.
         self.tables = []
         rest, factor = hashes, int(self.SPREAD[0])
         for shift in self.SPREAD[1:]:
             # Pieces whose slot is taken go to the next, larger table; the last must take all of them.
             while True:
-                keys, found = np.zeros(1 << (64 - shift), np.uint64), np.full(1 << (64 - shift), len(pieces), np.int32)
-                left = {}
+                slots, left = np.zeros(1 << (64 - shift), np.uint64), {}
                 for h, k in rest.items():
-                    slot = (h * factor & 0xFFFFFFFFFFFFFFFF) >> shift
-                    if found[slot] == len(pieces):
-                        keys[slot], found[slot] = h, k
-                    else:
+                    spread = h * factor & 0xFFFFFFFFFFFFFFFF
+                    if slots[spread >> shift]:
                         left[h] = k
+                    else:
+                        slots[spread >> shift] = spread >> 16 << 16 | k
                 if not left or shift != self.SPREAD[-1]:
                     break
-                factor = factor * 6364136223846793005 + 1442695040888963407 | 1
-                factor &= 0xFFFFFFFFFFFFFFFF
-            self.tables.append((np.uint64(factor), np.uint64(shift), keys, found))
+                factor = (factor * 6364136223846793005 + 1442695040888963407 | 1) & 0xFFFFFFFFFFFFFFFF
+            self.tables.append((np.uint64(factor), np.uint64(shift), slots))
             rest, factor = left, (factor * 6364136223846793005 | 1) & 0xFFFFFFFFFFFFFFFF
 
     def _find(self, hashes: np.ndarray) -> np.ndarray:
         """Piece per hash; the number of pieces where there is none."""
-        out = None
-        for factor, shift, keys, found in self.tables:
-            slot = (hashes * factor) >> shift
-            got = np.where(keys[slot] == hashes, found[slot], len(self.pieces))
-            out = got if out is None else np.minimum(out, got)
-        return out
+        out = np.uint64(len(self.pieces))
+        for factor, shift, slots in self.tables:
+            # Equal upper bits leave the difference below 2^16.
+            spread = hashes * factor
+            held = slots[spread >> shift]
+            out = np.where((held ^ spread) < np.uint64(65536), held & np.uint64(65535), out)
+        return out.astype(np.int32)
 
     def _groups(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(positions, marked letters as a matrix) of the words up to LONG, by length."""

@@ -32,12 +32,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialise, remainder, table
+from gridloom.llm.common import materialise, remainder, slices, table
 from gridloom.llm.lattice import Lattices, initial, maximise, vocabulary
 
 DIVISOR, HELD_OUT = 10, 0
 #: Distinct words after which a block ends; a block's number and a word's number share a long.
-BLOCK_WORDS, WORD_BITS, BLOCK_BITS = 300_000, 20, 16
+BLOCK_WORDS, WORD_BITS, BLOCK_BITS = 200_000, 20, 16
 #: Classes with a table of their own, and the least share of the training texts; the rest are one class.
 CLASSES, CLASS_SHARE = 7, 0.01
 ROUNDS = 2
@@ -73,7 +73,7 @@ def _code(batches: Iterator[pa.RecordBatch], classes: dict, width: int) -> Itera
         ]
         return pa.RecordBatch.from_arrays(columns, names=["block", "doc_id", "held_out", "numbers", "counts", "word", "number", *(f"c{k}" for k in range(width))])
 
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for doc_id, text, lang, held in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             found = Counter((text or b"").lower().split())
@@ -131,7 +131,7 @@ class Tables:
 def _weigh(batches: Iterator[pa.RecordBatch], pieces: list[str], weights: dict[str, float], width: int) -> Iterator[pa.RecordBatch]:
     """The lattice probability of every word, packed for each block that holds it."""
     lattices = Lattices(pieces, weights)
-    for batch in batches:
+    for batch in slices(batches, 10_000):
         words = [w.decode("utf-8", "replace") for w in batch.column("word").to_pylist()]
         log10 = lattices.log_probabilities(words) / np.log(10)
         counts = np.stack([batch.column(f"c{k}").to_numpy() for k in range(width)], 1).astype("<u8")
