@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD, materialise, slices, table
+from gridloom.llm.common import WORD, materialise, slices, table, trim
 from gridloom.llm.components import components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -57,7 +57,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class _Hashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 400_000:
+        if len(self) > 100_000:
             self.clear()
         self[word] = h = xxhash.xxh3_64_intdigest(word)
         return h
@@ -201,6 +201,7 @@ def _meet(batch: pa.Table) -> pa.Table:
             for k in np.flatnonzero(label != np.arange(b - a)):
                 if own[k] != own[label[k]]:
                     edges.add((own[k], own[label[k]]))
+    trim()
     a, b = zip(*edges) if edges else ([], [])
     return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
@@ -297,6 +298,7 @@ def _verify(batch: pa.Table, size: int, threshold: float) -> pa.Table:
         for k, (node, n) in enumerate(zip(nodes, counts.tolist())):
             if n:
                 out.append((columns["signature"][node], columns["signature"][nodes[label[k]]], n, columns["many"][node]))
+    trim()
     kinds = (pa.binary(), pa.binary(), pa.int64(), pa.bool_())
     return pa.table([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 4, kinds)], names=["signature", "root", "n", "many"])
 

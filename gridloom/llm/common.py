@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import ctypes
+import ctypes.util
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -27,7 +30,9 @@ def shared_dir(spark: SparkSession) -> str:
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
-    app = spark.sparkContext.applicationId
+    master, app = spark.sparkContext.master, spark.sparkContext.applicationId
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if app not in _OWN:
         _OWN[app] = tempfile.mkdtemp(prefix="gridloom-")
     return _OWN[app]
@@ -38,15 +43,35 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
     for batch in batches:
         for start in range(0, batch.num_rows, rows):
             yield batch.slice(start, rows)
+    trim()
+
+
+def trim() -> None:
+    """Give back memory that a worker's allocators hold, as the worker waits for other tasks."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    libc = ctypes.util.find_library("c")
+    if libc and hasattr(found := ctypes.CDLL(libc), "malloc_trim"):
+        found.malloc_trim(0)
+
+
+def store(df: DataFrame, name: str) -> str:
+    """Write df as Parquet to the shared folder; the path."""
+    path = f"{shared_dir(df.sparkSession)}/gridloom-{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return path
 
 
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the lineage ends there, and a
     lost executor costs a re-read."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gridloom-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, name))
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a stored table that nothing reads any more."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
 def remainder(doc_id: Column | str, divisor: int) -> Column:
@@ -55,11 +80,21 @@ def remainder(doc_id: Column | str, divisor: int) -> Column:
     return F.crc32(F.coalesce(col.cast("string"), F.lit("")).cast("binary")) % divisor
 
 
+def hash_sample(rows: DataFrame, key: str, limit: int) -> DataFrame:
+    """At most `limit` rows, those with the smallest hashes of the key.
+
+    A threshold on the hash leaves about twice as many before any are sorted, so that what meets in one
+    task is bounded as well, however many rows there are."""
+    share = min(1.0, 2 * limit / max(rows.count(), 1))
+    below = F.pmod(F.xxhash64(key), F.lit(1 << 30)) < int(share * (1 << 30))
+    return rows.where(below).orderBy(F.xxhash64(F.lit(1), key), key, *[c for c in rows.columns if c != key]).limit(limit)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, divisor: int, held_out: int, limit: int) -> DataFrame:
     """At most `limit` rows (doc_id, text, label) to learn from: those whose remainder isn't
     `held_out`, with a label of 0 or 1, in the order of a hash of their ids.
 
     The ids are bounded by `limit`, so they are broadcast; the texts are read where they lie."""
     usable = labels.where(F.col(label).isin(0, 1) & (remainder("doc_id", divisor) != held_out) & F.col("doc_id").isNotNull())
-    chosen = usable.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("_id"), "_id", "label").limit(limit)
+    chosen = hash_sample(usable.select(F.col("doc_id").alias("_id"), F.col(label).cast("int").alias("label")), "_id", limit)
     return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "label")

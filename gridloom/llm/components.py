@@ -9,12 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialise
+from gridloom.llm.common import remove, store
 
 
 def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
     """edges (a, b): one row (node, root) per node with an edge; root is the smallest node."""
-    now = materialise(edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+    spark = edges.sparkSession
+    first = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    path = store(first, "edges")
+    now = spark.read.schema(first.schema).parquet(path)
     for _ in range(rounds):
         # Large star: larger neighbours move to the smallest node around.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -24,7 +27,9 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         large = large.where(F.col("a") != F.col("b")).distinct()
         root = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(root, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b"))
-        after = materialise(small.unionByName(root.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        before, path = path, store(small.unionByName(root.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        after = spark.read.schema(first.schema).parquet(path)
+        remove(spark, before)
         # Stars are what no round changes.
         moved = after.select(F.col("a").alias("_a")).join(after.select("b").distinct(), F.col("_a") == F.col("b"), "left_semi")
         several = after.groupBy("a").count().where(F.col("count") > 1)

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialise, table
+from gridloom.llm.common import hash_sample, materialise, table
 
 NEAREST = 5
 QUERY_EVERY = 50
@@ -222,7 +222,7 @@ def search(rows: DataFrame, queries: DataFrame, key: str = "vec_id", vector: str
     n = entries.count()
     if not n:
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score double")
-    sample = entries.orderBy(F.xxhash64("v"), "v").limit(SAMPLE).select("v").collect()
+    sample = hash_sample(entries.select("v"), "v", SAMPLE).collect()
     unit = unit_of(np.array([r["v"] for r in sample]))
     quantiser = fit(unit, int(max(1, min(CELLS, np.sqrt(n), len(unit) / 8))), nearest, recall)
     schema = "ids array<bigint>, v array<double>, cell int, codes binary"
