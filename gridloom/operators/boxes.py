@@ -102,8 +102,9 @@ def suppress(boxes: DataFrame, key: str, options: Options = DEFAULTS, fold_limit
     small = pages.where(F.size("boxes") <= fold_limit).select("page", F.expr(_fold(options)).alias("kept"))
     kind = "array<struct<area:int,ord:int,x1:int,y1:int,x2:int,y2:int>>"
     large = pages.where(F.size("boxes") > fold_limit).mapInPandas(_in_numpy(options.overlap_limit), f"page {dict(pages.dtypes)['page']}, kept {kind}")
-    kept = small.unionByName(large).select(F.col("page").alias(key), F.posexplode("kept").alias("id", "c"))
-    return kept.select(key, "id", "c.ord", "c.x1", "c.y1", "c.x2", "c.y2")
+    # The outer form: before the other, the optimizer puts a filter that would run the fold once more.
+    kept = small.unionByName(large).select(F.col("page").alias(key), F.posexplode_outer("kept").alias("id", "c"))
+    return kept.where(F.col("c").isNotNull()).select(key, "id", "c.ord", "c.x1", "c.y1", "c.x2", "c.y2")
 
 
 def numbered(cells: DataFrame, key: str, order: list[Column]) -> DataFrame:

@@ -109,8 +109,10 @@ def build(cells: DataFrame, key: str, options: Options = DEFAULTS) -> DataFrame:
 
 def long_form(built: DataFrame, key: str) -> DataFrame:
     """key, row_idx, entry_idx, text, rowspan, colspan."""
-    rows = built.select(key, F.posexplode("grid").alias("row_idx", "row"))
-    return rows.select(key, "row_idx", F.posexplode("row").alias("entry_idx", "e")).select(key, "row_idx", "entry_idx", "e.text", "e.rowspan", "e.colspan")
+    # The outer form: before the other, the optimizer puts a filter that would build the grid once more.
+    rows = built.select(key, F.posexplode_outer("grid").alias("row_idx", "row"))
+    entries = rows.select(key, "row_idx", F.posexplode_outer("row").alias("entry_idx", "e")).where(F.col("e").isNotNull())
+    return entries.select(key, "row_idx", "entry_idx", "e.text", "e.rowspan", "e.colspan")
 
 
 def entries(grid: Column) -> Column:
