@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import pixels as P
@@ -10,7 +10,10 @@ from gridloom.plans import derived as D
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
-V = F.col("v")
+
+
+def v() -> Column:
+    return F.col("v")
 
 
 def register(name: str, sql: str):
@@ -34,23 +37,23 @@ def blank_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
   LEFT JOIN gray b ON b.img = a.img AND b.y = a.y AND b.x = a.x + 1 LEFT JOIN gray c ON c.img = a.img AND c.y = a.y AND c.x = a.x + 2""")
 def gray_convert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A pixel and the two to its right taken for the channels of one, itself where there is none."""
-    green, red = (F.coalesce(F.lead("v", k).over(P.row()), V) for k in (1, 2))
-    return D.gray(spark, sf_dir).select("img", "x", "y", P.grey(V, green, red).alias("v"))
+    green, red = (F.coalesce(F.lead("v", k).over(P.row()), v()) for k in (1, 2))
+    return D.gray(spark, sf_dir).select("img", "x", "y", P.grey(v(), green, red).alias("v"))
 
 
 @register("fixed_thr", " SELECT img, x, y, CASE WHEN v > 250 THEN 0 ELSE 255 END AS v FROM gray")
 def fixed_thr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapped(spark, sf_dir, P.fixed_inverse(V))
+    return mapped(spark, sf_dir, P.fixed_inverse(v()))
 
 
 @register("zero_thr", " SELECT img, x, y, CASE WHEN v > 0 THEN 255 ELSE 0 END AS v FROM gray")
 def zero_thr(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapped(spark, sf_dir, P.above_zero(V))
+    return mapped(spark, sf_dir, P.above_zero(v()))
 
 
 @register("invert", " SELECT img, x, y, 255 - v AS v FROM gray")
 def invert(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapped(spark, sf_dir, P.inverted(V))
+    return mapped(spark, sf_dir, P.inverted(v()))
 
 
 @register("otsu_thr", """, bins AS (SELECT img, v, count(*) AS n FROM gray GROUP BY img, v),
