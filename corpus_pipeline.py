@@ -12,6 +12,10 @@ from gridloom.llm import apportion, bin_packing, chosen_path, quality_gam, secre
 from gridloom.llm.common import materialise, table
 
 
+#: Words of a block of the mixture: long enough to be read, short against the smallest source.
+BLOCK_TOKENS = 64
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier rejects go."""
     return quality_gam.keep(docs, table(spark, sf_dir, "labels"))
@@ -29,7 +33,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sources are mixed to their target weights: documents repeat or give a part of their text."""
-    return apportion.apply(docs)
+    return apportion.apply(docs, block_tokens=BLOCK_TOKENS)
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
