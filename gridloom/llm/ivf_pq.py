@@ -37,8 +37,11 @@ SUBVECTORS, CODES = 16, 256
 RECALL, SAMPLE_QUERIES = 0.975, 400
 #: Cells that every query reads at least.
 LEAST_PROBES = 16
-#: Candidates of a part that are ranked exactly; vectors in a part; vectors in a task.
-RERANK, PART, SHARD = 48, 8192, 16_384
+#: Candidates of a part that are ranked exactly, and all that come as close to the last one wanted as this
+#: many deviations of the codes' error: where many vectors are almost equal, codes can't rank them.
+RERANK, SLACK = 48, 4.0
+#: Vectors in a part; vectors in a task.
+PART, SHARD = 8192, 16_384
 
 
 def _nearest_centroid(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
@@ -171,6 +174,9 @@ def _search(index: pa.Table, queries: pa.Table, quantiser: Quantiser, nearest: i
         ids = index.column("ids").to_pylist()
         part = np.stack([index.column("cell").to_numpy(), index.column("part").to_numpy()], 1)
         codes = np.frombuffer(b"".join(index.column("codes").to_pylist()), np.uint8).reshape(len(ids), -1)
+        # How far a vector is from what its codes say.
+        said = quantiser.centroids[part[:, 0]] + quantiser.books[np.arange(codes.shape[1]), codes].reshape(len(ids), -1)[:, : unit.shape[1]]
+        error = np.sqrt(((unit - said) ** 2).sum(1))
         order = np.lexsort((part[:, 1], part[:, 0]))
         starts = np.flatnonzero(np.append(True, (part[order][1:] != part[order][:-1]).any(1)))
         asked, asked_ids = _matrix(queries.column("v")), queries.column("id").to_pylist()
@@ -186,13 +192,20 @@ def _search(index: pa.Table, queries: pa.Table, quantiser: Quantiser, nearest: i
                 q = np.flatnonzero(reads[:, cell])
                 if not len(q):
                     continue
+                slack = SLACK * np.sqrt((error[rows] ** 2).mean() / unit.shape[1])
                 # The centroid's share is the same for all in the cell.
                 near = np.zeros((len(q), len(rows)))
                 for m in range(codes.shape[1]):
                     near += tables[q, m][:, codes[rows, m]]
-                best = np.argpartition(-near, rerank - 1, axis=1)[:, :rerank] if len(rows) > rerank else np.broadcast_to(np.arange(len(rows)), near.shape)
-                for k, chosen in zip(q, best):
-                    candidates[k].append(rows[chosen])
+                if len(rows) <= rerank:
+                    chosen = [slice(None)] * len(q)
+                else:
+                    best = np.argpartition(-near, rerank - 1, axis=1)[:, :rerank]
+                    level = np.partition(near, -nearest - 1, axis=1)[:, -nearest - 1] - slack
+                    close = near >= level[:, None]
+                    chosen = [np.flatnonzero(c) if n > rerank else b for c, n, b in zip(close, close.sum(1), best)]
+                for k, own_rows in zip(q, chosen):
+                    candidates[k].append(rows[own_rows])
             for k, found in enumerate(candidates):
                 if not found:
                     continue

@@ -145,6 +145,17 @@ def test_recall(spark):
     assert len(found) == 150 and hits >= 0.93 * 150
 
 
+def test_almost_equal_vectors(spark):
+    """A third of the vectors lie closer together than the codes can tell."""
+    rng = np.random.default_rng(6)
+    hot = rng.normal(size=16)
+    data = [(i, (hot + 0.01 * rng.normal(size=16) if i % 3 == 0 else rng.normal(size=16)).astype(np.float32).tolist(), 0) for i in range(900)]
+    rows = spark.createDataFrame(data, VECTORS)
+    found = N.search(rows, rows.where("vec_id % 150 = 0")).collect()
+    expected = exact([(i, v) for i, v, _ in data], [(i, v) for i, v, _ in data if i % 150 == 0], 5)
+    assert len(found) == 30 and all((round(-r.score, 10), r.vec_id) in expected[r.query_id] for r in found)
+
+
 def test_copies_and_ties(spark, monkeypatch):
     monkeypatch.setattr(N, "PART", 4)
     data = [(i, [1.0, 0.0, 0.0], 0) for i in range(40)] + [(100 + i, [float(i), 1.0, 2.0], 0) for i in range(30)]
