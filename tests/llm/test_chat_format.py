@@ -1,5 +1,6 @@
 import hashlib
 import json
+import re
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -42,7 +43,7 @@ def test_round_trip(spark, talks):
     for r in formatted.select("i", "f", C.read_back(F.col("f")).alias("b")).collect():
         assert [(t.role, t.text) for t in r.b] == talks[r.i]
         for t, (_, said) in zip(r.b, talks[r.i]):
-            assert r.f[t.start : t.start + t.length].replace("<\\", "<") == said.replace("<\\", "<")
+            assert re.sub(r"<\\(\\*)\|", r"<\1|", r.f[t.start : t.start + t.length]) == said
         assert r.f.count(C.START) == len(talks[r.i]) == r.f.count(C.END)
 
 
