@@ -52,9 +52,15 @@ def fix_word(word: Column) -> Column:
 
 def post_process(text: Column) -> Column:
     """Repairs of recognised text: white space collapsed, bars read as I, words repaired. Null and empty
-    texts stay as they are."""
-    fixed = F.array_join(F.transform(words(F.replace(text, F.lit("|"), F.lit("I"))), fix_word), " ")
-    return F.when(text.isNull() | (text == ""), text).otherwise(fixed)
+    texts stay as they are. Only texts that hold a word to repair are taken apart into words."""
+    plain = F.btrim(F.regexp_replace(F.replace(text, F.lit("|"), F.lit("I")), WHITE_SPACE, " "))
+
+    def repaired(t: Column) -> Column:
+        course = reduce(Column.__or__, [t.contains(c) for c in COURSES])
+        return F.when(course | t.rlike("(?:^| )[I1l]+(?: |$)"), F.array_join(F.transform(F.split(t, " "), fix_word), " ")).otherwise(t)
+
+    # As an array's element the collapsed text is a variable, made once.
+    return F.transform(F.array(plain), repaired)[0]
 
 
 def message_pattern(message: Column) -> Column:
