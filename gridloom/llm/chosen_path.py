@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD, materialise, slices, table, trim
+from gridloom.llm.common import WORD, materialise, rekeyed, slices, table, trim
 from gridloom.llm.components import components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
@@ -373,7 +373,8 @@ def join(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, rec
     connect it with) and n_links (documents at the threshold or above, copies included)."""
     known = link(docs, size, threshold, recall)
     least = known.where(F.col("root").isNotNull()).groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    return known.join(least, "root", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links")
+    least = least.select(rekeyed("root").alias("_root"), "class_id")
+    return known.join(least, F.col("root") == F.col("_root"), "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), "n_links")
 
 
 def keep_one(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:

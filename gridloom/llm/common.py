@@ -74,6 +74,13 @@ def remove(spark: SparkSession, path: str) -> None:
     there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def rekeyed(key: Column | str) -> Column:
+    """The same key as an expression of its own. Where an aggregate's result is joined on its key, Spark
+    joins it as it lies; only a join that shuffles both sides is split at run time where a key is hot, and
+    for a new expression it shuffles this (small) side too."""
+    return F.greatest(key, key)
+
+
 def remainder(doc_id: Column | str, divisor: int) -> Column:
     """crc32 of the id as text, modulo divisor; a null id counts as the empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import remove, store
+from gridloom.llm.common import rekeyed, remove, store
 
 
 def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
@@ -22,19 +22,21 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         # Large star: larger neighbours move to the smallest node around.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.where(F.col("b") > F.col("a")).join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        upper = both.where(F.col("b") > F.col("a")).join(least.select(rekeyed("a").alias("_a"), "m"), F.col("a") == F.col("_a"))
+        large = upper.select(F.col("b").alias("a"), F.col("m").alias("b"))
         # Small star: a node and its smaller neighbours move to the smallest of them.
         large = large.where(F.col("a") != F.col("b")).distinct()
         root = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(root, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b"))
+        lower = large.join(root.select(rekeyed("a").alias("_a"), "m"), F.col("a") == F.col("_a"))
+        small = lower.select(F.col("b").alias("a"), F.col("m").alias("b")).where(F.col("a") != F.col("b"))
         before, path = path, store(small.unionByName(root.select("a", F.col("m").alias("b"))).distinct(), "edges")
         after = spark.read.schema(first.schema).parquet(path)
         remove(spark, before)
-        # Stars are what no round changes.
-        moved = after.select(F.col("a").alias("_a")).join(after.select("b").distinct(), F.col("_a") == F.col("b"), "left_semi")
-        several = after.groupBy("a").count().where(F.col("count") > 1)
+        # Stars are what no round changes: no node has two roots, no root has one.
+        ends = after.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(after.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+        unsettled = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where((F.col("up") > 1) | (F.col("up") + F.col("down") > 1))
         now = after
-        if not moved.limit(1).count() and not several.limit(1).count():
+        if not unsettled.limit(1).count():
             break
     else:
         raise RuntimeError("components did not settle")

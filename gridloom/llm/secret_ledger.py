@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import table
+from gridloom.llm.common import rekeyed, table
 
 
 @dataclass(frozen=True)
@@ -121,7 +121,7 @@ def findings(docs: DataFrame, scanned: DataFrame, ledger: DataFrame | None = Non
         current = F.concat_ws("@", "rule", "version").isin([f"{r.kind}@{r.version}" for r in rules])
         known = ledger_rows(scanned).unionByName(ledger.select("blob", "rule", "version", "spans"))
         scanned = known.where(current).groupBy("blob").agg(F.collect_list(F.struct("rule", "version", "spans")).alias("results"))
-    found = scanned.select(F.col("blob").alias("_blob"), F.col("results").alias("found"))
+    found = scanned.select(rekeyed("blob").alias("_blob"), F.col("results").alias("found"))
     return docs.withColumn("blob", address(F.col(text))).join(found, F.col("blob") == F.col("_blob"), "left").drop("_blob")
 
 
