@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import labelled_sample, remainder, slices, table
+from gridloom.llm.common import labelled_sample, materialise, remainder, slices, table
 
 DIVISOR, HELD_OUT = 5, 0
 #: Labelled rows in the index, at most.
@@ -202,6 +202,8 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index
     rows = labelled_sample(docs, labels, "toxic", DIVISOR, HELD_OUT, examples)
     # One example per text: copies would fill the neighbours of each other.
     rows = rows.groupBy(F.xxhash64("text").alias("_text"), "label").agg(F.min(F.struct("doc_id", "text")).alias("r")).select("r.doc_id", "r.text", "label")
+    # Read three times below; at most `examples` texts.
+    rows = materialise(rows, "examples")
     sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
     n, nt = sizes.get(0, 0), sizes.get(1, 0)
     prior = (nt + 0.5) / (n + nt + 1)
