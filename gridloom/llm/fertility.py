@@ -2,14 +2,17 @@ r"""Quality rules from tokeniser fertility.
 
 A public subword vocabulary with byte fallback measures every text word by word: characters per
 token, the share of byte-fallback tokens and the entropy of the text's tokens. Each script has a
-band for the three; a text outside its script's band is rejected, and so is one that fails the base
-rules (too few words, too many words in repeated five-word windows).
+band for the three, and each language that labels exist for has narrower ones by length; a text
+outside one of its bands is rejected, and so is one that fails the base rules (too few words, too many
+words in repeated five-word windows).
 
-The bands are wide: they are meant for text that isn't language (runs of symbols, encodings, endless
-repetition), and a band counts only from so many tokens on that chance can't carry a clean text
-across it.
+The bands of scripts are wide: they are meant for text that isn't language (runs of symbols, encodings,
+endless repetition), and a band counts only from so many tokens on that chance can't carry a clean text
+across it. The bands of languages tell poor text from clean text of the same language.
 
 Defined results: a null or empty text has no words, all counts 0, entropy 0, and fails the base rule;
+a text without a language, with one that has no bands, or in another script than Latin has its script's
+band only;
 repeated rows and ids are measured each for itself; an empty table gives an empty frame.
 """
 
@@ -59,6 +62,19 @@ BANDS = {
     "east_asian": Band(0.2, 4.0, 0.98, 4.5),
     "none": Band(0.5, 6.0, 0.98, 5.0),
 }
+# Per language and length class (tokens from 64, 128, ... 4096 on) the least entropy and the
+# least and most characters per token. From the labels of sf0.1 with an even crc32 of the doc_id, among texts
+# that pass the base rules: the 0.5 % quantile of the clean texts, or the middle between it and the 99 %
+# quantile of the poor ones where these lie below it; the entropy from 64 tokens is that of all languages.
+# Characters have a least value (not 0) where half of the poor texts lie below it, and a most value (not 9)
+# a tenth above all clean texts; both only from 20 clean texts on. No text there has byte tokens.
+LANGUAGES = {
+    "en": ((4.96, 0.0, 2.49), (5.81, 0.0, 2.51), (6.09, 2.08, 2.48), (6.24, 2.09, 2.42), (6.45, 2.10, 2.39), (6.53, 2.12, 2.37), (6.59, 0.0, 9.0)),
+    "de": ((4.94, 0.0, 9.0), (5.56, 0.0, 2.54), (5.93, 0.0, 2.47), (6.16, 2.13, 2.42), (6.33, 2.14, 2.41), (6.60, 0.0, 2.38), (6.47, 0.0, 9.0)),
+    "fr": ((4.94, 0.0, 9.0), (5.67, 0.0, 2.30), (5.95, 0.0, 2.22), (6.19, 0.0, 2.18), (6.27, 1.93, 2.14), (6.38, 0.0, 9.0), (6.29, 0.0, 9.0)),
+    "es": ((4.94, 0.0, 9.0), (5.48, 0.0, 9.0), (5.91, 0.0, 2.18), (6.19, 1.87, 2.15), (6.36, 1.90, 2.10), (6.44, 0.0, 9.0), (6.52, 0.0, 9.0)),
+}
+FIRST_CLASS = 6
 SCRIPTS = {
     "latin": [*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC3, 0xCA)],
     "greek": [0xCE, 0xCF],
@@ -96,7 +112,7 @@ class Measurer:
                 self.number[word] = len(self.tokens)
                 self.tokens.append(np.array(ids, "<u4").tobytes())
 
-    def measure(self, text: str) -> tuple:
+    def measure(self, text: str, lang: str | None = None) -> tuple:
         data = text.encode()
         words = data.split()  # of bytes: at ASCII white space only
         n_words = len(words)
@@ -121,9 +137,21 @@ class Measurer:
         inside = (n_tokens < band.short or band.least_chars <= per_token <= band.most_chars and byte_share <= band.most_bytes) and (
             n_tokens < band.long or entropy >= band.least_entropy
         )
+        if script == "latin":
+            inside = inside and in_language(lang, n_tokens, entropy, per_token)
         return (n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, inside and not base_failed, per_token, byte_share, entropy, script)
 
 
+def in_language(lang: str | None, n_tokens: int, entropy: float, per_token: float) -> bool:
+    """Whether a text is within the bands of its language; true where there are none."""
+    length = n_tokens.bit_length() - 1 - FIRST_CLASS
+    bands = LANGUAGES.get(lang)
+    if bands is None or length < 0:
+        return True
+    least_entropy, least_chars, most_chars = bands[min(length, len(bands) - 1)]
+    return entropy >= least_entropy and least_chars <= per_token <= most_chars
+
+
 def repeated(numbers: np.ndarray) -> int:
     """Words within windows of WINDOW words that occur twice or more, the first included.
 
@@ -172,15 +200,15 @@ def _measure(batches: Iterator[pa.RecordBatch], path: str | None) -> Iterator[pa
     own = _measurer(path)
     names = [c.split()[0] for c in COLUMNS.split(", ")]
     for batch in slices(batches):
-        rows = [own.measure(text or "") for text in batch.column(1).to_pylist()]
+        rows = [own.measure(text or "", lang) for text, lang in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
         columns = zip(*rows) if rows else [[]] * len(_KINDS)
         yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, _KINDS))], names=names)
 
 
 def measure(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """Counts, fertility and verdict per row of docs (doc_id, text). vocabulary: path of a
+    """Counts, fertility and verdict per row of docs (doc_id, text, lang). vocabulary: path of a
     sentencepiece model; None for the public one."""
-    return docs.select("doc_id", "text").mapInArrow(lambda batches: _measure(batches, vocabulary), COLUMNS)
+    return docs.select("doc_id", "text", "lang").mapInArrow(lambda batches: _measure(batches, vocabulary), COLUMNS)
 
 
 def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:

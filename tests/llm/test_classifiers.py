@@ -1,7 +1,9 @@
+import os
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gridloom.llm import fertility as Y
 from gridloom.llm import quality_gam as Q
@@ -143,3 +145,21 @@ def test_bands():
     assert measure("Пример обычного русского текста из слов, который нужно оставить без изменений здесь")[6]
     assert measure(prose.replace("number", "of"))[10] == "latin"
     assert not measure(" ".join("\U00012000" * 3 + str(k) for k in range(100)))[6]
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.1"), reason="needs the driver's tables")
+def test_bands_tell_poor_from_clean(spark):
+    """On labels that the bands were not set on, among texts that pass the base rules."""
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").where("crc32(cast(cast(doc_id as string) as binary)) % 2 = 1")
+    found = Y.op7_fertility(spark, "/root/testdata/sf0.1").where("not base_failed").join(labels, "doc_id").groupBy("quality")
+    kept = {r.quality: r.kept for r in found.agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()}
+    assert kept[0] < 0.1 and kept[1] > 0.98
+
+
+def test_bands_of_languages():
+    measure = Y._measurer(None).measure
+    drone = " ".join(np.random.default_rng(5).choice("the of and to in a is that for it as was with be by on not he his but at are from or had an they which one you were all her she there would their we him been has when who will no more if out so".split(), 600))
+    assert not measure(drone)[5] and measure(drone)[6] and measure(drone, "xx")[6]
+    assert not any(measure(drone, lang)[6] for lang in Y.LANGUAGES)
+    russian = "Пример обычного русского текста из слов, который нужно оставить без изменений здесь"
+    assert measure(russian, "en") == measure(russian)
