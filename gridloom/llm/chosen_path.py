@@ -80,9 +80,10 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(mix(total))
 
 
-def runs_for(recall: float, threshold: float, branch: float = BRANCH, depth: int = DEPTH) -> int:
-    """Runs after which a pair at the threshold has met with the target recall. Such a pair shares at
-    least threshold * the larger set, so at each node about branch * threshold of its choices."""
+def runs_for(recall: float, threshold: float, branch: float = BRANCH, depth: int = MAX_DEPTH) -> int:
+    """Runs after which a pair at the threshold has met with the target recall, at the depth to which
+    large buckets are split as well. Such a pair shares at least threshold * the larger set, so at each
+    node about branch * threshold of its choices."""
     met = 1.0
     for _ in range(depth):
         met = 1 - math.exp(-branch * threshold * met)

@@ -95,6 +95,14 @@ def test_runs():
     assert J.runs_for(0.999, 0.8) > J.runs_for(0.9, 0.8) >= 1
 
 
+@pytest.mark.parametrize("depth", range(J.DEPTH, J.MAX_DEPTH + 1))
+def test_runs_reach_the_recall_at_every_depth(depth):
+    met = 1.0
+    for _ in range(depth):
+        met = 1 - np.exp(-J.BRANCH * J.THRESHOLD * met)
+    assert 1 - (1 - met) ** J.runs_for(J.RECALL, J.THRESHOLD) >= J.RECALL
+
+
 def test_overlaps():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (1, 5, 30, 50, 0)]
