@@ -2,7 +2,7 @@
 
 Examples and texts are TF-IDF vectors over the words, and beginnings of words, that tell the classes
 apart in the examples. The
-examples with the largest cosine are found exactly with a block-max inverted index: examples with
+examples with the largest cosine are found exactly with block maxima over a dense matrix: examples with
 like words stand together in blocks, each word knows its largest weight in every block, and the sum
 of these bounds what any example of a block can reach. Blocks are scored in the order of their bounds
 until no bound reaches the last neighbour found. Votes of the neighbours, weighted by their distance,
