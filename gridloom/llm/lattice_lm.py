@@ -37,7 +37,8 @@ from gridloom.llm.lattice import Lattices, initial, maximise, vocabulary
 
 DIVISOR, HELD_OUT = 10, 0
 #: Distinct words after which a block ends; a block's number and a word's number share a long.
-BLOCK_WORDS, WORD_BITS, BLOCK_BITS = 200_000, 20, 16
+#: A text of 2 GiB, the most that a row holds, has less than 2**29 distinct words; 18 bits stay for partitions.
+BLOCK_WORDS, WORD_BITS, BLOCK_BITS = 200_000, 29, 16
 #: Classes with a table of their own, and the least share of the training texts; the rest are one class.
 CLASSES, CLASS_SHARE = 7, 0.01
 ROUNDS = 2

@@ -102,3 +102,10 @@ def test_levels_are_distributions():
     counts = np.array([[3, 2], [2, 0], [1, 1], [0, 1], [0, 0], [0, 0]], float)
     backing = np.log10(np.array([0.1, 0.2, 0.3, 0.1, 0.1, 0.2]))
     assert (10.0 ** tables.levels(counts, backing)).sum(0) == pytest.approx([1, 1])
+
+
+def test_places_hold_every_text():
+    """A block ends after a whole text: its words are those before and at most 2 GiB of short new ones."""
+    short = sum(256**n for n in range(1, 4))  # words of up to three bytes; the others take five with a space
+    assert M.BLOCK_WORDS + short + 2**31 // 5 <= 2**M.WORD_BITS
+    assert M.WORD_BITS + M.BLOCK_BITS + 18 <= 63
