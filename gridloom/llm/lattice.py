@@ -10,7 +10,8 @@ if those of all pieces do.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterable, Iterator
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 
 import numpy as np
 
@@ -46,88 +47,59 @@ def is_byte(piece: str) -> bool:
 
 
 class Lattice:
-    """Forward and forward-backward recursions for one set of piece probabilities.
-
-    The recursions run in logarithms of the probability scaled by SCALE per character, so that sums
-    of long words don't underflow; within a word the scaled values are added as they are."""
-
-    SCALE = 8.0
+    """The recursions for one word at a time and one set of piece probabilities, all in natural
+    logarithms, so that no word of any length or script underflows."""
 
     def __init__(self, weights: dict[str, float]):
-        scale = self.SCALE
-        self.bytes = [weights[f"<0x{b:02X}>"] for b in range(256)]
-        self.by_length = {}
-        self.weight = {p: w * scale ** len(p) for p, w in weights.items() if not is_byte(p)}
+        self.bytes = [math.log(weights[f"<0x{b:02X}>"]) for b in range(256)]
+        self.weight = {p: math.log(w) for p, w in weights.items() if not is_byte(p) and w > 0}
         self.longest = max(map(len, self.weight))
-        self.log_scale = math.log(scale)
-        self.char: dict[str, float] = {}
 
     def spelt(self, char: str) -> float:
-        """Scaled probability of a character as bytes."""
-        found = self.char.get(char)
-        if found is None:
-            found = self.SCALE
-            for b in char.encode("utf-8", "surrogatepass"):
-                found *= self.bytes[b]
-            if len(self.char) < 100_000:
-                self.char[char] = found
+        """Log probability of a character as bytes."""
+        return sum(self.bytes[b] for b in char.encode("utf-8", "surrogatepass"))
+
+    def _arcs(self, word: str, forward: Sequence[float], j: int) -> list[tuple[int, str | None, float]]:
+        """(start, piece, log probability of all that ends with it) of the arcs that end at j; a
+        character as bytes has no piece."""
+        get = self.weight.get
+        found: list[tuple[int, str | None, float]] = [(j - 1, None, forward[j - 1] + self.spelt(word[j - 1]))]
+        for i in range(max(0, j - self.longest), j):
+            w = get(word[i:j])
+            if w is not None:
+                found.append((i, word[i:j], forward[i] + w))
         return found
 
+    def forward(self, word: str) -> array:
+        """Log probability of each beginning of the (marked) word, over all its segmentations."""
+        out = array("d", [0.0])
+        for j in range(1, len(word) + 1):
+            arcs = self._arcs(word, out, j)
+            top = max(v for _, _, v in arcs)
+            out.append(top + math.log(sum(math.exp(v - top) for _, _, v in arcs)))
+        return out
+
     def log_probability(self, word: str) -> float:
         """Natural logarithm of the sum over all segmentations of the marked word."""
-        word = MARK + word
-        n, longest, get, spelt = len(word), self.longest, self.weight.get, self.spelt
-        forward, log = [1.0], 0.0
-        for j in range(1, n + 1):
-            total = forward[j - 1] * spelt(word[j - 1])
-            for i in range(j - longest if j > longest else 0, j):
-                w = get(word[i:j])
-                if w is not None:
-                    total += forward[i] * w
-            forward.append(total)
-            if total < 1e-100 or total > 1e100:  # rescale what later sums can reach
-                log += math.log(total)
-                low = max(0, j - longest)
-                forward[low:] = [f / total for f in forward[low:]]
-        return log + math.log(forward[n]) - n * self.log_scale
+        return self.forward(MARK + word)[-1]
 
     def expect(self, word: str, counts: dict[str, float]) -> None:
-        """Add to counts how often each piece is expected in the word's segmentations."""
+        """Add to counts how often each piece is expected in the word's segmentations.
+
+        Going back, each place knows how likely a segmentation has a cut there, and passes that on along
+        the arcs that end there in their proportions."""
         word = MARK + word
-        n, longest, get = len(word), self.longest, self.weight.get
-        if n > 200:  # in overlapping-free parts: the recursion below doesn't rescale
-            for s in range(1, n, 150):
-                self.expect_part(word[s : s + 150], counts)
-            return
-        self.expect_part(word, counts)
-
-    def expect_part(self, word: str, counts: dict[str, float]) -> None:
-        n, longest, get, spelt = len(word), self.longest, self.weight.get, self.spelt
-        forward, arcs = [1.0], []
-        for j in range(1, n + 1):
-            b = spelt(word[j - 1])
-            total = forward[j - 1] * b
-            arcs.append((j - 1, j, None, b))
-            for i in range(j - longest if j > longest else 0, j):
-                piece = word[i:j]
-                w = get(piece)
-                if w is not None:
-                    total += forward[i] * w
-                    arcs.append((i, j, piece, w))
-            forward.append(total)
-        backward = [0.0] * n + [1.0 / forward[n]] if forward[n] > 0 else None
-        if backward is None:
-            return
-        for i, j, piece, w in reversed(arcs):
-            passed = w * backward[j]
-            backward[i] += passed
-            share = forward[i] * passed
-            if piece is not None:
-                counts[piece] = counts.get(piece, 0.0) + share
-            elif share > 1e-12:
-                for byte in word[i].encode("utf-8", "surrogatepass"):
-                    key = f"<0x{byte:02X}>"
-                    counts[key] = counts.get(key, 0.0) + share
+        forward = self.forward(word)
+        cut = array("d", bytes(8 * len(forward)))
+        cut[len(word)] = 1.0
+        for j in range(len(word), 0, -1):
+            if not cut[j]:
+                continue
+            for i, piece, v in self._arcs(word, forward, j):
+                share = cut[j] * math.exp(v - forward[j])
+                cut[i] += share
+                for p in [piece] if piece is not None else [f"<0x{b:02X}>" for b in word[i].encode("utf-8", "surrogatepass")]:
+                    counts[p] = counts.get(p, 0.0) + share
 
 
 def maximise(pieces: list[str], counts: Iterable[tuple[str, float]], smooth: float = 0.01, bytes_share: float = 1e-4) -> dict[str, float]:
@@ -143,8 +115,8 @@ def maximise(pieces: list[str], counts: Iterable[tuple[str, float]], smooth: flo
 
 
 class Lattices:
-    """The recursions of Lattice for many words at once: words of one length are columns of arrays,
-    and substrings are looked up by hash. Longer words than LONG go one by one."""
+    """The recursions of Lattice for many words at once, with the same results: words of one length are
+    columns of arrays, and substrings are looked up by hash. Words over LONG letters go one by one."""
 
     LONG, CHUNK = 48, 8192
     BASE, SPREAD = np.uint64(0x100000001B3), (np.uint64(0x9E3779B97F4A7C15), 46, 44)
@@ -156,7 +128,7 @@ class Lattices:
         self.pieces = pieces
         self.usable = [k for k, p in enumerate(pieces) if not is_byte(p)]
         self.longest = self.single.longest
-        self.weight = np.array([self.single.weight.get(p, 0.0) for p in pieces] + [0.0])
+        self.weight = np.array([self.single.weight.get(p, -np.inf) for p in pieces] + [-np.inf])
         hashes = {}
         for k in self.usable:
             h = 0
@@ -202,28 +174,37 @@ class Lattices:
                 letters = np.frombuffer("".join(MARK + words[k] for k in own).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(own), n + 1).T
                 yield own, letters.astype(np.uint64)
 
-    def _forward(self, letters: np.ndarray) -> tuple[np.ndarray, dict[tuple[int, int], np.ndarray], np.ndarray]:
+    def _steps(self, letters: np.ndarray) -> Iterator[tuple[int, list[np.ndarray], np.ndarray, np.ndarray]]:
+        """For each place j from 1: the pieces of the arcs that end there by start, from max(0, j - longest)
+        on; the probabilities of these arcs, given that there is a cut at j, the character as bytes last;
+        and the log probability of the words up to there."""
         n, m = letters.shape
         codes, inverse = np.unique(letters, return_inverse=True)
         spelt = np.array([self.single.spelt(chr(c)) for c in codes.tolist()])[inverse].reshape(n, m)
-        forward, arcs = np.zeros((n + 1, m)), {}
-        forward[0] = 1
-        running: list[np.ndarray] = []  # hash of letters[i:j] for each open i
+        forward = np.zeros((n + 1, m))
+        running: list[np.ndarray] = []  # hash of letters[i:j] for each i that an arc can start at
         for j in range(1, n + 1):
-            running = [h * self.BASE + letters[j - 1] + np.uint64(1) for h in running] + [letters[j - 1] + np.uint64(1)]
-            total = forward[j - 1] * spelt[j - 1]
-            for i in range(max(0, j - self.longest), j):
-                arcs[i, j] = found = self._find(running[i])
-                total += forward[i] * self.weight[found]
-            forward[j] = total
-        return forward, arcs, spelt
+            running = [h * self.BASE + letters[j - 1] + np.uint64(1) for h in running[-self.longest + 1 :]] + [letters[j - 1] + np.uint64(1)]
+            found = [self._find(h) for h in running]
+            logs = np.empty((len(found) + 1, m))
+            for k, piece in enumerate(found):
+                np.add(forward[j - len(found) + k], self.weight[piece], out=logs[k])
+            np.add(forward[j - 1], spelt[j - 1], out=logs[-1])
+            top = logs.max(0)
+            logs -= top
+            share = np.exp(logs, out=logs)
+            total = share.sum(0)
+            share /= total
+            forward[j] = top + np.log(total)
+            yield j, found, share, forward[j]
 
     def log_probabilities(self, words: list[str]) -> np.ndarray:
         """Lattice.log_probability of each word."""
         out = np.zeros(len(words))
         for own, letters in self._groups(words):
-            forward, _, _ = self._forward(letters)
-            out[own] = np.log(forward[-1]) - len(letters) * self.single.log_scale
+            for *_, last in self._steps(letters):
+                pass
+            out[own] = last
         for k, w in enumerate(words):
             if len(w) > self.LONG or not w:
                 out[k] = self.single.log_probability(w)
@@ -233,31 +214,27 @@ class Lattices:
         """Expected count of each piece over the words."""
         total = np.zeros(len(self.pieces) + 1)
         for _, letters in self._groups(words):
-            forward, arcs, spelt = self._forward(letters)
             n, m = letters.shape
-            backward = np.zeros((n + 1, m))
-            backward[n] = 1 / forward[n]
+            steps = [(j, found, share) for j, found, share, _ in self._steps(letters)]
+            cut = np.zeros((n + 1, m))
+            cut[n] = 1
             bytes_used = np.zeros((n, m))
-            for j in range(n, 0, -1):
-                own = [(i, arcs[i, j]) for i in range(max(0, j - self.longest), j)]
-                passed = [self.weight[a] * backward[j] for _, a in own]
-                for (i, _), p in zip(own, passed):
-                    backward[i] += p
-                by_bytes = spelt[j - 1] * backward[j]
-                backward[j - 1] += by_bytes
-                bytes_used[j - 1] = forward[j - 1] * by_bytes
-                total += np.bincount(np.concatenate([a for _, a in own]), np.concatenate([forward[i] * p for (i, _), p in zip(own, passed)]), len(total))
-            used = bytes_used > 1e-9
-            codes, inverse = np.unique(letters[used], return_inverse=True)
-            for code, share in zip(codes.tolist(), np.bincount(inverse, bytes_used[used], len(codes))):
+            for j, found, share in reversed(steps):
+                share *= cut[j]
+                cut[j - len(found) : j] += share[:-1]
+                cut[j - 1] += share[-1]
+                bytes_used[j - 1] = share[-1]
+                total += np.bincount(np.concatenate(found), share[:-1].ravel(), len(total))
+            codes, inverse = np.unique(letters, return_inverse=True)
+            for code, used in zip(codes.tolist(), np.bincount(inverse.ravel(), bytes_used.ravel(), len(codes)).tolist()):
                 for byte in chr(code).encode("utf-8", "surrogatepass"):
-                    total[byte] += share  # byte pieces come first
+                    total[byte] += used  # byte pieces come first
         rest: dict[str, float] = {}
         for w in words:
             if len(w) > self.LONG:
                 self.single.expect(w, rest)
         if rest:
             number = {p: k for k, p in enumerate(self.pieces)}
-            for piece, share in rest.items():
-                total[number[piece]] += share
+            for piece, used in rest.items():
+                total[number[piece]] += used
         return total[:-1]

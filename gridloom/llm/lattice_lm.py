@@ -12,33 +12,42 @@ back on the whole. A text's probability is the sum over the classes:
 All levels are proper distributions. The probabilities of the pieces are fitted by expectation
 maximisation over the distinct training words, from the order of the vocabulary.
 
-How it scales: texts are cut into words once, in blocks of bounded vocabulary; a block keeps its texts
-as word numbers and its own list of words. Counts meet in one aggregation by word; the lattice runs once
-per distinct word of the corpus, and every block gets back the entries for its own words alone. No task
-holds the corpus's vocabulary.
-
-Defined results: a null or empty text is its end; repeated rows count as often as they stand there;
-without training texts words have their lattice probability alone; an empty table gives an empty frame.
+How it scales: texts are cut into words once, in blocks of bounded vocabulary and size; a block keeps its
+texts as word numbers and its own list of words, and a long text runs through as many blocks as it needs.
+Counts meet in one aggregation by word, where a word comes once per block, however frequent it is; the
+lattice runs once per distinct word of the corpus, and every block gets back the entries for its own words
+alone. No task holds the corpus's vocabulary or a list of all blocks.
+
+Defined results: a null or empty text is its end; a text of any length, with words of any length and
+script, has a finite score; repeated rows count as often as they stand there; without training texts words
+have their lattice probability alone; an empty table gives an empty frame. Only doc_id, text and the column
+of the classes are read, so other columns may have any names; where the column of the classes is missing,
+all texts are one class.
 """
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialise, remainder, slices, table
+from gridloom.llm.common import materialise, remainder, remove, slices, store, table
 from gridloom.llm.lattice import Lattices, initial, maximise, vocabulary
 
 DIVISOR, HELD_OUT = 10, 0
-#: Distinct words after which a block ends; a block's number and a word's number share a long.
-#: A text of 2 GiB, the most that a row holds, has less than 2**29 distinct words; 18 bits stay for partitions.
-BLOCK_WORDS, WORD_BITS, BLOCK_BITS = 200_000, 29, 16
+#: A block ends at so many distinct words, or so many bytes of coded texts, and is looked at after every
+#: PART_BYTES of a text; so it has less than BLOCK_WORDS + PART_BYTES / 2 + 1 words, which fit WORD_BITS.
+BLOCK_WORDS, BLOCK_BYTES, PART_BYTES = 200_000, 16 << 20, 1 << 20
+#: A long holds a word's number, its block's number in the partition, and the partition's.
+WORD_BITS, BLOCK_BITS = 20, 16
+#: Partitions whose places of a word come as one list.
+SPAN = 256
 #: Classes with a table of their own, and the least share of the training texts; the rest are one class.
 CLASSES, CLASS_SHARE = 7, 0.01
 ROUNDS = 2
@@ -52,48 +61,73 @@ class _Numbers(dict):
         return number
 
 
+_SPACE = re.compile(rb"[ \t\n\x0b\x0c\r]")
+
+
+def _parts(text: bytes) -> Iterator[bytes]:
+    """The text in parts of about PART_BYTES, cut between words; at least one."""
+    start = 0
+    while len(text) - start > PART_BYTES:
+        cut = _SPACE.search(text, start + PART_BYTES)
+        if cut is None:
+            break
+        yield text[start : cut.start()]
+        start = cut.start()
+    yield text[start:]
+
+
 def _code(batches: Iterator[pa.RecordBatch], classes: dict, width: int) -> Iterator[pa.RecordBatch]:
-    """Texts as word numbers and counts, then, whenever a block is full, its words with counts by class."""
+    """Texts as word numbers and counts, then, whenever a block is full, its words with counts by class.
+
+    A text that goes on in the next block is a row in each, with one `row` number; `ends` marks the last."""
     from pyspark import TaskContext
 
-    block = TaskContext.get().partitionId() << BLOCK_BITS
+    part_no = TaskContext.get().partitionId()
+    block, row = part_no << BLOCK_BITS, part_no << 36
     numbers, counts = _Numbers(), np.zeros((1 << 16, width), np.int64)
+    rows: list[tuple] = []
+    held_bytes = 0
 
-    def emit(rows: list, words: list) -> pa.RecordBatch:
+    def emit(words: list) -> pa.RecordBatch:
         n, m = len(rows), len(words)
-        docs = list(zip(*rows)) if rows else [[]] * 4
+        docs = list(zip(*rows)) if rows else [[]] * 6
+        kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.binary(), pa.binary())
         columns = [
             pa.array([block] * (n + m), pa.int64()),
-            pa.array([*docs[0], *[None] * m], pa.int64()),
-            pa.array([*docs[1], *[None] * m], pa.bool_()),
-            pa.array([*docs[2], *[None] * m], pa.binary()),
-            pa.array([*docs[3], *[None] * m], pa.binary()),
+            *(pa.array([*d, *[None] * m], k) for d, k in zip(docs, kinds)),
             pa.array([*[None] * n, *words], pa.binary()),
             pa.array([*[None] * n, *range(m)], pa.int32()),
             *(pa.array(np.concatenate([np.zeros(n, np.int64), counts[:m, k]])) for k in range(width)),
         ]
-        return pa.RecordBatch.from_arrays(columns, names=["block", "doc_id", "held_out", "numbers", "counts", "word", "number", *(f"c{k}" for k in range(width))])
+        rows.clear()
+        return pa.RecordBatch.from_arrays(columns, names=["block", *CODED, "word", "number", *(f"c{k}" for k in range(width))])
 
     for batch in slices(batches):
-        rows = []
         for doc_id, text, lang, held in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-            found = Counter((text or b"").lower().split())
-            at = np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found))
-            n = np.fromiter(found.values(), np.uint32, len(found))
-            while len(numbers) > len(counts):
-                counts = np.concatenate([counts, np.zeros_like(counts)])
-            if not held:
-                counts[at, classes.get(lang, width - 1)] += n
-            order = np.argsort(at)
-            # Differences are small numbers, which the file's compression likes.
-            rows.append((doc_id, held, np.diff(at[order], prepend=np.uint32(0)).tobytes(), n[order].tobytes()))
-            if len(numbers) >= BLOCK_WORDS:
-                yield emit(rows, list(numbers))
-                rows, numbers, block = [], _Numbers(), block + 1
-                counts = np.zeros((1 << 16, width), np.int64)
-        yield emit(rows, [])
+            parts = list(_parts(text or b""))
+            for k, part in enumerate(parts):
+                found = Counter(part.lower().split())
+                at = np.fromiter(map(numbers.__getitem__, found), np.uint32, len(found))
+                n = np.fromiter(found.values(), np.uint32, len(found))
+                while len(numbers) > len(counts):
+                    counts = np.concatenate([counts, np.zeros_like(counts)])
+                if not held:
+                    counts[at, classes.get(lang, width - 1)] += n
+                order = np.argsort(at)
+                # Differences are small numbers, which the file's compression likes.
+                rows.append((row, doc_id, held, k == len(parts) - 1, np.diff(at[order], prepend=np.uint32(0)).tobytes(), n[order].tobytes()))
+                held_bytes += 8 * len(found) + 32
+                if len(numbers) >= BLOCK_WORDS or held_bytes >= BLOCK_BYTES:
+                    yield emit(list(numbers))
+                    numbers, block, held_bytes = _Numbers(), block + 1, 0
+                    counts = np.zeros((1 << 16, width), np.int64)
+            row += 1
+        yield emit([])
     if numbers:
-        yield emit([], list(numbers))
+        yield emit(list(numbers))
+
+
+CODED = ("row", "doc_id", "held_out", "ends", "numbers", "counts")
 
 
 @dataclass
@@ -156,7 +190,7 @@ def _weigh(batches: Iterator[pa.RecordBatch], pieces: list[str], weights: dict[s
 
 
 def _total(docs: pa.Table, entries: pa.Table, tables: Tables, width: int) -> pa.Table:
-    """Scores of the texts of a block from the entries of its words."""
+    """What the texts of a block, or the parts of texts that it holds, sum up to."""
     packed = [[x or b"" for x in entries.column(c).to_pylist()] for c in ("numbers", "counts", "lattice")]
     number = np.frombuffer(b"".join(packed[0]), "<u4")
     counts = np.zeros((len(number) + 1, width))
@@ -173,19 +207,16 @@ def _total(docs: pa.Table, entries: pa.Table, tables: Tables, width: int) -> pa.
     lattice[:-1] += np.log10(1 - END_SHARE)
     total = counts.sum(1)
     base, levels, known = tables.base(total), tables.levels(counts, lattice), total > 0
-    out = []
-    for doc_id, held, numbers, times in zip(*(docs.column(c).to_pylist() for c in ("doc_id", "held_out", "numbers", "counts"))):
+    sums, by_class = [], []
+    for ends, numbers, times in zip(*(docs.column(c).to_pylist() for c in ("ends", "numbers", "counts"))):
         own = np.append(np.cumsum(np.frombuffer(numbers, "<u4"), dtype=np.int64), len(number))
-        n = np.append(np.frombuffer(times, "<u4"), 1).astype(np.int64)
-        by_class = n @ levels[own] + tables.prior
-        top = by_class.max()
-        out.append((doc_id, held, int(n.sum()), int(n @ known[own]), int(tables.tokens[-1]), float(n @ base[own]), float(top + np.log10((10.0 ** (by_class - top)).sum()))))
-    kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
-    columns = zip(*out) if out else [[]] * len(kinds)
-    return pa.Table.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=[c.split()[0] for c in SCORES.split(", ")])
-
-
-SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, train_tokens bigint, base_score double, score double"
+        n = np.append(np.frombuffer(times, "<u4"), ends).astype(np.int64)
+        sums.append((int(n.sum()), int(n @ known[own]), float(n @ base[own])))
+        by_class.append(n @ levels[own])
+    kinds = (pa.int64(), pa.int64(), pa.float64())
+    columns = [pa.array(c, k) for c, k in zip(zip(*sums) if sums else [[]] * 3, kinds)]
+    of_class = [pa.array(c) for c in np.array(by_class).reshape(-1, width).T]
+    return pa.Table.from_arrays([*(docs.column(c) for c in CODED[:3]), *columns, *of_class], names=[*CODED[:3], "n_tokens", "n_known", "base_score", *(f"l{k}" for k in range(width))])
 
 
 def fit_pieces(words: DataFrame, pieces: list[str], rounds: int = ROUNDS) -> dict[str, float]:
@@ -210,25 +241,34 @@ def score(docs: DataFrame, held_out: Column, by: str | None = "lang", path: str
     """Scores every row of docs (doc_id, text), learning from the rows that aren't held out.
 
     by: column of the classes, or None; path: the vocabulary's sentencepiece model, or None for the
-    public one."""
-    group = F.col(by).cast("string") if by else F.lit(None).cast("string")
+    public one. The CLASSES largest classes have tables of their own, the texts of all others share one."""
+    group = F.col(by).cast("string") if by in docs.columns else F.lit(None).cast("string")
     rows = docs.select("doc_id", "text", group.alias("lang"), held_out.alias("held_out"))
     of_class = {r["lang"]: r["count"] for r in rows.where(~F.col("held_out")).groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(CLASSES).collect()}
     n_train = rows.where(~F.col("held_out")).count()
     classes = {lang: k for k, lang in enumerate(c for c, n in of_class.items() if c is not None and n >= CLASS_SHARE * n_train)}
     width = len(classes) + 1
     c = [f"c{k}" for k in range(width)]
-    schema = "block bigint, doc_id bigint, held_out boolean, numbers binary, counts binary, word binary, number int, " + ", ".join(f"{k} bigint" for k in c)
-    coded = materialise(rows.mapInArrow(lambda batches: _code(batches, classes, width), schema), "coded")
+    schema = "block bigint, row bigint, doc_id bigint, held_out boolean, ends boolean, numbers binary, counts binary, word binary, number int, " + ", ".join(f"{k} bigint" for k in c)
+    spark = docs.sparkSession
+    coded_at = store(rows.mapInArrow(lambda batches: _code(batches, classes, width), schema), "coded")
+    coded = spark.read.schema(schema).parquet(coded_at)
     place = F.shiftleft("block", WORD_BITS).bitwiseOR(F.col("number"))
-    by_word = coded.where(F.col("word").isNotNull()).groupBy("word").agg(*[F.sum(k).alias(k) for k in c], F.collect_list(place).alias("places"))
-    vocab = materialise(by_word, "vocab")
+    span = F.shiftright("block", BLOCK_BITS) / F.lit(SPAN)
+    listed = coded.where(F.col("word").isNotNull()).repartition("word").groupBy("word", F.floor(span).alias("span"))
+    listed = listed.agg(*[F.sum(k).alias(k) for k in c], F.collect_list(place).alias("places"))
+    # Lists are cut by spans of blocks; counts are a word's in all of them.
+    whole = Window.partitionBy("word")
+    by_word = listed.select("word", (F.row_number().over(whole.orderBy("span")) == 1).alias("first"), *[F.sum(k).over(whole).alias(k) for k in c], "places")
+    vocab_at = store(by_word, "vocab")
+    vocab = spark.read.schema(by_word.schema).parquet(vocab_at)
+    words = vocab.where("first")
 
     # Whole and per class: tokens, distinct words, words seen once and twice; one row.
     sums = []
     for k, col in enumerate([*map(F.col, c), sum(map(F.col, c), F.lit(0))]):
         sums += [F.sum(col).alias(f"n{k}"), F.count_if(col > 0).alias(f"v{k}"), F.count_if(col == 1).alias(f"one{k}"), F.count_if(col == 2).alias(f"two{k}")]
-    found = vocab.agg(*sums).first()
+    found = words.agg(*sums).first()
     texts = np.zeros(width + 1)
     for lang, k in classes.items():
         texts[k] = of_class[lang]
@@ -237,10 +277,22 @@ def score(docs: DataFrame, held_out: Column, by: str | None = "lang", path: str
     tables = Tables(get("n") + texts, get("v") + (texts > 0), np.clip((get("one") + 0.5) / (get("one") + 2 * get("two") + 1), 0.05, 0.95), texts)
 
     pieces = vocabulary(path)
-    weights = fit_pieces(vocab.where(sum(map(F.col, c), F.lit(0)) > 0), pieces)
+    weights = fit_pieces(words.where(sum(map(F.col, c), F.lit(0)) > 0), pieces)
     entries = vocab.select("word", *c, "places").mapInArrow(lambda batches: _weigh(batches, pieces, weights, width), "block bigint, numbers binary, counts binary, lattice binary")
-    texts_of = coded.where(F.col("word").isNull()).select("block", "doc_id", "held_out", "numbers", "counts")
-    return texts_of.groupBy("block").cogroup(entries.groupBy("block")).applyInArrow(lambda left, right: _total(left, right, tables, width), SCORES)
+    texts_of = coded.where(F.col("word").isNull()).select("block", *CODED)
+    levels = [f"l{k}" for k in range(width)]
+    summed = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, " + ", ".join(f"{k} double" for k in levels)
+    parts = texts_of.groupBy("block").cogroup(entries.groupBy("block")).applyInArrow(lambda left, right: _total(left, right, tables, width), summed)
+    sums = ("n_tokens", "n_known", "base_score", *levels)
+    total = parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *[F.sum(k).alias(k) for k in sums])
+    of_classes = [F.col(k) + float(p) for k, p in zip(levels, tables.prior)]
+    top = F.greatest(*of_classes) if width > 1 else of_classes[0]
+    log10 = top + F.log10(sum((F.pow(F.lit(10.0), x - top) for x in of_classes), F.lit(0.0)))
+    scored = total.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(int(tables.tokens[-1])).cast("long").alias("train_tokens"), "base_score", log10.alias("score"))
+    done = materialise(scored, "scores")
+    remove(spark, coded_at)
+    remove(spark, vocab_at)
+    return done
 
 
 def op1_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

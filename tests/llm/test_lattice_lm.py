@@ -104,8 +104,97 @@ def test_levels_are_distributions():
     assert (10.0 ** tables.levels(counts, backing)).sum(0) == pytest.approx([1, 1])
 
 
-def test_places_hold_every_text():
-    """A block ends after a whole text: its words are those before and at most 2 GiB of short new ones."""
-    short = sum(256**n for n in range(1, 4))  # words of up to three bytes; the others take five with a space
-    assert M.BLOCK_WORDS + short + 2**31 // 5 <= 2**M.WORD_BITS
-    assert M.WORD_BITS + M.BLOCK_BITS + 18 <= 63
+def test_places_hold_every_block():
+    assert M.BLOCK_WORDS + M.PART_BYTES // 2 + 1 <= 2**M.WORD_BITS
+    assert M.WORD_BITS + M.BLOCK_BITS + 27 <= 63
+
+
+def test_rare_scripts_do_not_underflow():
+    """Words of four-byte letters, short and long, have finite probabilities, and expectations that add up."""
+    pieces = L.vocabulary()
+    many, one = L.Lattices(pieces, L.initial(pieces)), L.Lattice(L.initial(pieces))
+    words = ["\U00012000" * n for n in (1, 20, 47, 48, 49, 300)] + ["\U0001f600日é" * 12]
+    found = many.log_probabilities(words)
+    assert np.isfinite(found).all() and np.allclose(found, [one.log_probability(w) for w in words], rtol=1e-12)
+    counts = many.expect(words)
+    assert np.isfinite(counts).all()
+    letters = sum(len(p) * n for p, n in zip(pieces, counts) if not L.is_byte(p))
+    written = sum(n / 4 for p, n in zip(pieces, counts) if L.is_byte(p) and "<0xF0>" <= p) * 4
+    assert letters + written == pytest.approx(sum(len(w) + 1 for w in words), rel=0.01)
+
+
+def test_rare_scripts_leave_scores_finite(spark):
+    docs = spark.createDataFrame([(i, f"plain words number {i} here", "en") for i in range(30)] + [(31, "\U00012000" * 30 + " and " + "\U00012000" * 60, "xx")], "doc_id long, text string, lang string")
+    assert all(math.isfinite(r.score) for r in M.score(docs, remainder("doc_id", 10) == 0).collect())
+
+
+@pytest.fixture
+def small_blocks(monkeypatch):
+    """Blocks of a few words; workers are forked, so that the values reach them by environment only if
+    they are read there: the functions run in this process instead."""
+    monkeypatch.setattr(M, "BLOCK_WORDS", 5)
+    monkeypatch.setattr(M, "PART_BYTES", 12)
+
+
+def test_texts_run_through_blocks(small_blocks, monkeypatch):
+    import pyarrow as pa
+    import pyspark
+
+    class Task:
+        def partitionId(self):
+            return 3
+
+    monkeypatch.setattr(pyspark.TaskContext, "get", staticmethod(lambda: Task()))
+    text = " ".join(f"w{i % 23}" for i in range(200))
+    batch = pa.record_batch([pa.array([1, 2, 3]), pa.array([text, None, "w1 W1 z"]), pa.array(["en"] * 3), pa.array([False, True, False])], names=["doc_id", "text", "lang", "held_out"])
+    words, seen = {}, {}
+    out = [r for b in M._code(iter([batch]), {"en": 0}, 2) for r in b.to_pylist()]
+    for r in out:
+        if r["word"] is not None:
+            words[r["block"], r["number"]] = r
+    for r in out:
+        if r["word"] is None:
+            own = seen.setdefault(r["row"], Counter())
+            for number, n in zip(np.cumsum(np.frombuffer(r["numbers"], "<u4")).tolist(), np.frombuffer(r["counts"], "<u4").tolist()):
+                own[words[r["block"], number]["word"].decode()] += n
+    assert list(seen.values()) == [Counter(text.split()), Counter(), Counter({"w1": 2, "z": 1})]
+    assert len({r["block"] for r in out}) > 3 and sum(r["ends"] or False for r in out) == 3
+    held = Counter()
+    for r in words.values():
+        held[r["word"].decode()] += r["c0"]
+    assert held == Counter(text.split()) + Counter({"w1": 2, "z": 1})
+
+
+def plain_score(rows, pieces, weights):
+    """score() by its formula, one class, word by word with the single lattice."""
+    single = L.Lattice(weights)
+    tokens = [(i, (t or "").lower().split()) for i, t in rows]
+    counts = Counter(w for i, ws in tokens if not held(i) for w in ws)
+    texts = sum(not held(i) for i, _ in tokens)
+    n, v = sum(counts.values()) + texts, len(counts) + 1
+    one, two = (sum(c == k for c in counts.values()) for k in (1, 2))
+    d = min(max((one + 0.5) / (one + 2 * two + 1), 0.05), 0.95)
+
+    def token(c, behind):
+        whole = max(c - d, 0) / n + d * v / n * behind
+        return math.log10(max(c - d, 0) / n + d * v / n * whole)
+
+    end = token(texts, M.END_SHARE)
+    return {i: sum(token(counts[w], (1 - M.END_SHARE) * math.exp(single.log_probability(w))) for w in ws) + end for i, ws in tokens}
+
+
+def test_score_equals_the_plain_formula(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, " ".join("".join(rng.choice(list("abcdé"), rng.integers(1, 6))) for _ in range(rng.integers(1, 30)))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc_id: r.score for r in M.score(docs, remainder("doc_id", 10) == 0, by=None).collect()}
+    words = sorted({w for i, t in rows if not held(i) for w in t.split()})
+    pieces = L.vocabulary()
+    weights = L.initial(pieces)
+    for _ in range(M.ROUNDS):
+        counts: dict = {}
+        for w in words:
+            L.Lattice(weights).expect(w, counts)
+        weights = L.maximise(pieces, counts.items())
+    expected = plain_score(rows, pieces, weights)
+    assert all(found[i] == pytest.approx(expected[i], rel=1e-6) for i in expected)
