@@ -1,52 +1,54 @@
 """Toxicity from the nearest labelled examples.
 
-Examples and texts are TF-IDF vectors over the words, and beginnings of words, that tell the classes
-apart in the examples. The
-examples with the largest cosine are found exactly with block maxima over a dense matrix: examples with
-like words stand together in blocks, each word knows its largest weight in every block, and the sum
-of these bounds what any example of a block can reach. Blocks are scored in the order of their bounds
-until no bound reaches the last neighbour found. Votes of the neighbours, weighted by their distance,
-are calibrated on the examples, each scored by the others, and returned with the neighbours as
-evidence.
-
-Terms and vectors come from at most EXAMPLES labelled rows; the term counts are made on the executors.
-
-Defined results: a null or empty text is the vector of the end of the text alone, as is one without any
-of the index's terms; equal cosines go to the smaller doc_id; repeated rows
-are scored each for itself; without labelled rows of both classes every score is the smoothed share of
-label 1, 0.5 without any; an empty table gives an empty frame.
+Examples and texts are TF-IDF vectors over all words of the examples; no word is left out. A word's
+inverse document frequency is multiplied by how surely the word tells the classes apart (a G statistic,
+brought between RELEVANCE's floor and about 1), so that neighbours of a text with an insult are those with
+the insult, and those of other texts are the ones with like words.
+
+The examples with the largest cosine are found exactly, with a block-max inverted index: like examples
+stand together in blocks, the posting list of every word is cut by blocks, and each part knows its largest
+weight. The sum of these bounds what any example of a block can reach. A text first visits its most
+promising blocks; what its last neighbour has there decides which other blocks it visits, and in these only
+the postings of its own words are read. Lists of words that occur in most blocks are kept as columns,
+those of all other words as pairs. Many texts are looked up at once.
+
+Votes of the neighbours, weighted by their distance, are calibrated on the examples, each scored by the
+others, and returned with the neighbours as evidence.
+
+The index is made of at most EXAMPLES labelled rows; their words are counted, and their own votes taken,
+on the executors.
+
+Defined results: a null or empty text, and one without any word of the examples, has no neighbours and the
+calibrated prior as its score; a text of any length is looked up whole; equal cosines go to the smaller
+doc_id; repeated rows are scored each for itself; without labelled rows of both classes every score is the
+smoothed share of label 1, 0.5 without any; an empty table gives an empty frame. Only doc_id and text are
+read, so other columns may have any names.
 """
 
 from __future__ import annotations
 
-import math
 from collections import Counter
-from collections.abc import Iterator
-from dataclasses import dataclass, field
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+import xxhash
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import labelled_sample, materialise, remainder, slices, table
+from gridloom.llm.common import labelled_sample, remainder, remove, slices, store, table
 
 DIVISOR, HELD_OUT = 5, 0
 #: Labelled rows in the index, at most.
-EXAMPLES = 12_000
-#: Terms in the index, at most, and the least evidence (G statistic) that one tells the classes apart.
-TERMS = 512
-LEAST_EVIDENCE = 30.0
-LEAST_TEXTS = 5
+EXAMPLES = 6_000
 NEIGHBOURS = 11
-BLOCK = 64
-
-#: A term must be this much likelier in the texts of one label than in those of the other.
-LEAST_RATIO = 3.0
-#: Beginnings of words that are terms beside the words: insults are inflected.
-PREFIXES = range(3, 9)
-#: The end of a text is a term too, in every text; its weight keeps apart texts with one hit and many.
-END_WEIGHT = 6.0
+#: Examples in a block; blocks that every text visits first; words kept as columns.
+BLOCK, FIRST, COLUMNS = 64, 4, 768
+#: Relevance of a word that tells nothing, and the G statistic that counts for a quarter.
+RELEVANCE, EVIDENCE = 0.05, 30.0
+#: Texts that are looked up at once.
+AT_ONCE = 256
 
 _SPACED = bytes(c if chr(c).isalnum() or c >= 128 else 32 for c in range(256))
 
@@ -56,112 +58,171 @@ def words_of(text: str) -> list[bytes]:
     return text.lower().encode().translate(_SPACED).split()
 
 
-def terms_of(word: bytes) -> list[str]:
-    """The word, closed by a dollar sign, and its beginnings."""
-    letters = word.decode()
-    return [letters + "$", *(letters[:n] for n in PREFIXES if n <= len(letters))]
+def bag_of(text: str | None) -> Counter[bytes]:
+    return Counter(words_of(text or ""))
+
+
+def hashed(bag: Counter[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words, and their counts."""
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, bag), np.uint64, len(bag)), np.fromiter(bag.values(), float, len(bag))
 
 
-class Terms:
-    """Numbers of the index's terms; the last number is the end of the text."""
+def relevance(k: np.ndarray, kt: np.ndarray, n: int, nt: int) -> np.ndarray:
+    """For words in k of n texts of label 0 and in kt of nt texts of label 1."""
 
-    def __init__(self, number: dict[str, int], idf: np.ndarray):
-        self.number, self.idf, self.known = number, idf, {}
+    def part(seen: np.ndarray, size: int, hits: np.ndarray) -> np.ndarray:
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where((seen > 0) & (hits > 0), seen * np.log(seen * float(n + nt) / (size * hits)), 0.0)
 
-    def of(self, word: bytes) -> tuple[int, ...]:
-        found = self.known.get(word)
-        if found is None:
-            if len(self.known) > 400_000:
-                self.known.clear()
-            found = self.known[word] = tuple(self.number[t] for t in terms_of(word) if t in self.number)
-        return found
+    both = k + kt
+    g = np.maximum(2 * (part(k, n, both) + part(kt, nt, both) + part(n - k, n, n + nt - both) + part(nt - kt, nt, n + nt - both)), 0)
+    return RELEVANCE + (g / (g + EVIDENCE)) ** 2
 
-    def counts(self, text: str) -> tuple[tuple[int, int], ...]:
-        """(term, count), ascending."""
-        total: Counter[int] = Counter()
-        of = self.of
-        for word, n in Counter(words_of(text)).items():
-            for term in of(word):
-                total[term] += n
-        return tuple(sorted(total.items()))
 
-    def vector(self, counts: tuple[tuple[int, int], ...]) -> tuple[np.ndarray, np.ndarray]:
-        """Term numbers, ascending, and weights of unit length."""
-        at = np.array([t for t, _ in counts] + [len(self.number)])
-        weight = np.array([(1 + math.log(n)) * self.idf[t] for t, n in counts] + [END_WEIGHT])
-        return at, weight / math.sqrt(float(weight @ weight))
+def _ranges(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The numbers of all ranges [start, end), one after the other."""
+    size = ends - starts
+    return np.repeat(starts - np.cumsum(size) + size, size) + np.arange(size.sum())
+
+
+Vector = tuple[np.ndarray, np.ndarray]
 
 
 @dataclass
 class Index:
-    """Example vectors in blocks, and each word's largest weight per block."""
+    """Posting lists of the examples' words, cut by blocks."""
 
-    terms: Terms
-    weights: np.ndarray  # examples x words
-    most: np.ndarray  # blocks x words
-    ids: np.ndarray
+    words: np.ndarray  # hashes of the words, ascending; a word's place is its number
+    weight: np.ndarray  # per word: idf times relevance
+    ids: np.ndarray  # per row: doc_id
     labels: np.ndarray
     prior: float
-    knots: tuple[np.ndarray, np.ndarray] = (np.zeros(0), np.zeros(0))
-    found: dict = field(default_factory=dict)
+    column: np.ndarray  # per word: its column, or -1
+    columns: np.ndarray  # blocks x BLOCK x columns
+    most_in: np.ndarray  # columns x blocks: the largest weight
+    first_part: np.ndarray  # per word and one more: where its parts start
+    part_block: np.ndarray  # per part: block, largest weight, and where its postings start
+    part_most: np.ndarray
+    part_start: np.ndarray
+    rows: np.ndarray  # per posting: row and weight
+    weights: np.ndarray
+    knots: Vector = (np.zeros(0), np.zeros(0))
 
     @classmethod
-    def build(cls, vectors: list[tuple[int, int, np.ndarray, np.ndarray]], terms: Terms, prior: float) -> Index:
-        """vectors: (doc_id, label, term numbers, weights). Examples whose weightiest terms agree come
-        together."""
-
-        def theme(v: tuple[int, int, np.ndarray, np.ndarray]) -> tuple:
-            heavy = np.lexsort((v[2], -v[3]))[:3]
-            return (*v[2][heavy].tolist(), v[0])
-
-        vectors = sorted(vectors, key=theme)
-        weights = np.zeros((len(vectors), len(terms.number) + 1))
-        for row, (_, _, at, w) in zip(weights, vectors):
-            row[at] = w
-        starts = range(0, len(vectors), BLOCK)
-        most = np.array([weights[s : s + BLOCK].max(0) for s in starts]).reshape(len(starts), weights.shape[1])
-        return cls(terms, weights, most, np.array([v[0] for v in vectors], np.int64), np.array([v[1] for v in vectors], float), prior)
-
-    def nearest(self, at: np.ndarray, weight: np.ndarray, k: int = NEIGHBOURS) -> tuple[np.ndarray, np.ndarray]:
-        """Rows and cosines of the k nearest examples with a positive cosine; equal ones by doc_id."""
-        if not len(at) or not len(self.ids):
-            return np.zeros(0, int), np.zeros(0)
-        bounds = self.most[:, at] @ weight
-        order = np.argsort(-bounds, kind="stable")
-        rows, cosines, last = np.zeros(0, int), np.zeros(0), 0.0
-        for block in order:
-            # A little slack: the sums are rounded differently.
-            if bounds[block] <= 0 or len(rows) == k and bounds[block] < last - 1e-12:
-                break
-            own = np.arange(block * BLOCK, min((block + 1) * BLOCK, len(self.ids)))
-            found = np.round(self.weights[own][:, at] @ weight, 12)
-            keep = (found > 0) & (found >= last if len(rows) == k else True)
-            rows, cosines = np.concatenate([rows, own[keep]]), np.concatenate([cosines, found[keep]])
+    def build(cls, bags: Sequence[tuple[int, int, np.ndarray, np.ndarray]]) -> Index:
+        """bags: (doc_id, label, hashes of words, counts) of examples."""
+        number, each = np.unique(np.concatenate([b[2] for b in bags] or [np.zeros(0, np.uint64)]), return_inverse=True)
+        at = np.split(each, np.cumsum([len(b[2]) for b in bags])[:-1]) if bags else []
+        ids, labels = np.array([b[0] for b in bags], np.int64), np.array([b[1] for b in bags], np.int64)
+        n, nt = int((labels == 0).sum()), int((labels == 1).sum())
+        by_label = [np.bincount(np.concatenate([a for a, y in zip(at, labels) if y == label] or [np.zeros(0, int)]), minlength=len(number)) for label in (0, 1)]
+        weight = (np.log((n + nt + 1) / (by_label[0] + by_label[1] + 1)) + 1) * relevance(*map(np.float64, by_label), n, nt) if n and nt else np.ones(len(number))
+        vectors = [unit(a, b[3], weight) for a, b in zip(at, bags)]
+        order = _alike(vectors, len(number))
+        vectors = [vectors[k] for k in order]
+        blocks = max(1, -(-len(bags) // BLOCK))
+        sizes = [len(v[0]) for v in vectors]
+        word = np.concatenate([v[0] for v in vectors] or [np.zeros(0, int)])
+        value = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
+        row = np.repeat(np.arange(len(vectors)), sizes)
+        by_word = np.lexsort((row, word))
+        word, value, row = word[by_word], value[by_word], row[by_word]
+        block = row // BLOCK
+        start = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (block[1:] != block[:-1]))) if len(word) else np.zeros(0, int)
+        most = np.maximum.reduceat(value, start) if len(start) else np.zeros(0)
+        n_parts = np.bincount(word[start], minlength=len(number))
+        column = np.full(len(number), -1)
+        widest = np.lexsort((np.arange(len(number)), -n_parts))[:COLUMNS]
+        widest = widest[n_parts[widest] > 1]
+        column[widest] = np.arange(len(widest))
+        dense = np.zeros((blocks * BLOCK, len(widest)))
+        in_column = column[word] >= 0
+        dense[row[in_column], column[word[in_column]]] = value[in_column]
+        dense = dense.reshape(blocks, BLOCK, len(widest))
+        # The other words' parts and postings.
+        of_part = column[word[start]] < 0
+        keep = ~in_column
+        size = np.diff(np.append(start, len(word)))[of_part]
+        return cls(
+            number, weight, ids[order], labels[order], (nt + 0.5) / (n + nt + 1),
+            column, dense, dense.max(1).T.copy(),
+            np.append(0, np.cumsum(np.where(column < 0, n_parts, 0))), block[start][of_part].astype(np.int32), most[of_part], np.append(0, np.cumsum(size)),
+            row[keep].astype(np.int32), value[keep],
+        )
+
+    def vector(self, bag: Counter[bytes]) -> Vector:
+        """Word numbers and weights of unit length; words that no example has are left out."""
+        hashes, counts = hashed(bag)
+        at = np.minimum(np.searchsorted(self.words, hashes), max(len(self.words) - 1, 0))
+        known = self.words[at] == hashes if len(self.words) else np.zeros(len(at), bool)
+        return unit(at[known], counts[known], self.weight)
+
+    def nearest(self, vectors: list[Vector], k: int = NEIGHBOURS) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Of each vector the rows and cosines of the k examples with the largest positive cosine; equal
+        ones by doc_id."""
+        if not len(self.ids) or not vectors:
+            return [(np.zeros(0, int), np.zeros(0)) for _ in vectors]
+        n, blocks = len(vectors), len(self.columns)
+        asked = np.zeros((n, self.columns.shape[2]))
+        part_of, parts, part_weight = [], [], []
+        for q, (at, w) in enumerate(vectors):
+            in_column = self.column[at] >= 0
+            asked[q, self.column[at[in_column]]] = w[in_column]
+            own, value = at[~in_column], w[~in_column]
+            first, last = self.first_part[own], self.first_part[own + 1]
+            parts.append(_ranges(first, last))
+            part_weight.append(np.repeat(value, last - first))
+            part_of.append(np.full(len(parts[-1]), q))
+        of, part, value = np.concatenate(part_of), np.concatenate(parts), np.concatenate(part_weight)
+        in_block = self.part_block[part]
+        bounds = asked @ self.most_in + np.bincount(of * blocks + in_block, value * self.part_most[part], n * blocks).reshape(n, blocks)
+        scores = np.zeros((n, blocks, BLOCK))
+
+        def visit(wanted: np.ndarray) -> None:
+            own = wanted[of, in_block]
+            start, end = self.part_start[part[own]], self.part_start[part[own] + 1]
+            posting = _ranges(start, end)
+            place = np.repeat(of[own], end - start) * (blocks * BLOCK) + self.rows[posting]
+            scores.ravel()[:] += np.bincount(place, np.repeat(value[own], end - start) * self.weights[posting], scores.size)
+            for b in np.flatnonzero(wanted.any(0)):
+                q = np.flatnonzero(wanted[:, b])
+                scores[q, b] += asked[q] @ self.columns[b].T
+
+        first = np.argsort(-bounds, axis=1, kind="stable")[:, : min(FIRST, blocks)]
+        wanted = np.zeros((n, blocks), bool)
+        np.put_along_axis(wanted, first, True, 1)
+        visit(wanted)
+        seen = scores[np.arange(n)[:, None], first].reshape(n, -1)
+        # A little slack: the sums are rounded differently.
+        last = np.partition(seen, -min(k, seen.shape[1]), axis=1)[:, -min(k, seen.shape[1])] - 1e-11
+        visit(~wanted & (bounds >= last[:, None]) & (bounds > 0))
+        out = []
+        for own, level in zip(scores.reshape(n, -1), last):
+            rows = np.flatnonzero((own >= level) & (own > 1e-12))
+            cosines = np.round(own[rows], 12)
             best = np.lexsort((self.ids[rows], -cosines))[:k]
-            rows, cosines = rows[best], cosines[best]
-            last = cosines[-1] if len(rows) else 0.0
-        return rows, cosines
+            out.append((rows[best], cosines[best]))
+        return out
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray) -> float:
         """Share of label 1 among neighbours, weighted by 1 / distance; the prior counts a little."""
         weight = cosines / (1.05 - np.minimum(cosines, 1.0))
         return float((weight @ self.labels[rows] + 0.1 * self.prior) / (weight.sum() + 0.1))
 
-    def calibrate(self) -> None:
+    def votes_of_others(self, examples: list[tuple[int, str | None]]) -> list[float]:
+        """The vote on each example (doc_id, text) by the others."""
+        out = []
+        for (doc_id, _), (rows, cosines) in zip(examples, self.nearest([self.vector(bag_of(t)) for _, t in examples], NEIGHBOURS + 1)):
+            own = np.flatnonzero((self.ids[rows] == doc_id) & (cosines > 1 - 1e-9))[:1]
+            others = np.delete(np.arange(len(rows)), own)[:NEIGHBOURS]
+            out.append(self.vote(rows[others], cosines[others]))
+        return out
+
+    def calibrate(self, votes: np.ndarray, labels: np.ndarray) -> None:
         """Isotonic regression of the examples' labels on their votes by the others."""
-        votes, asked = [], {}
-        for row in range(len(self.ids)):
-            at = np.flatnonzero(self.weights[row])
-            key = self.weights[row].tobytes()
-            if key not in asked:  # with one more, for the example itself
-                asked[key] = self.nearest(at, self.weights[row, at], NEIGHBOURS + 1)
-            rows, cosines = asked[key]
-            others = (rows != row).nonzero()[0][:NEIGHBOURS]
-            votes.append(self.vote(rows[others], cosines[others]))
-        order = np.lexsort((self.labels, votes)) if votes else []
         pools: list[list[float]] = []  # votes summed, labels summed, count
-        for i in order:
-            pools.append([votes[i], self.labels[i], 1.0])
+        for i in np.lexsort((labels, votes)):
+            pools.append([votes[i], labels[i], 1.0])
             while len(pools) > 1 and pools[-2][1] * pools[-1][2] >= pools[-1][1] * pools[-2][2]:
                 top = pools.pop()
                 pools[-1] = [a + b for a, b in zip(pools[-1], top)]
@@ -169,32 +230,48 @@ class Index:
         y = np.array([(p[1] + 0.5 * self.prior) / (p[2] + 0.5) for p in pools])
         self.knots = (x, np.maximum.accumulate(y) if len(y) else y)
 
-    def score(self, text: str) -> tuple[float, np.ndarray, np.ndarray]:
-        """Calibrated score, then rows and cosines of the neighbours. Texts with equal terms, most
-        have none, are looked up once."""
+    def scores(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each text the calibrated score, then rows and cosines of its neighbours."""
         if not len(self.knots[0]):
-            return self.prior, np.zeros(0, int), np.zeros(0)
-        counts = self.terms.counts(text)
-        if counts not in self.found:
-            if len(self.found) > 20_000:
-                self.found.clear()
-            rows, cosines = self.nearest(*self.terms.vector(counts))
-            self.found[counts] = (float(np.interp(self.vote(rows, cosines), *self.knots)), rows, cosines)
-        return self.found[counts]
-
-
-def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Texts of each label per term, of one partition."""
-    by = (Counter(), Counter())
-    for batch in batches:
-        for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-            by[label].update({t for w in set(words_of(text or "")) for t in terms_of(w)})
-    words = list(by[0].keys() | by[1].keys())
-    for s in range(0, len(words), 50_000):
-        own = words[s : s + 50_000]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(own, pa.string()), pa.array([by[0][w] for w in own], pa.int64()), pa.array([by[1][w] for w in own], pa.int64())], names=["word", "k", "kt"]
-        )
+            return [(self.prior, np.zeros(0, int), np.zeros(0)) for _ in texts]
+        found = self.nearest([self.vector(bag_of(t)) for t in texts])
+        return [(float(np.interp(self.vote(rows, cosines), *self.knots)), rows, cosines) for rows, cosines in found]
+
+
+def unit(at: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> Vector:
+    value = (1 + np.log(counts)) * weight[at]
+    return at, value / np.sqrt(value @ value) if len(at) else value
+
+
+def _alike(vectors: list[Vector], n_words: int) -> np.ndarray:
+    """An order of the vectors in which like ones stand together: by clusters over their commonest words."""
+    common = np.argsort(-np.bincount(np.concatenate([v[0] for v in vectors] or [np.zeros(0, int)]), minlength=n_words), kind="stable")[:COLUMNS]
+    at = np.full(n_words, -1)
+    at[common] = np.arange(len(common))
+    x = np.zeros((len(vectors), len(common)))
+    for own, (words, values) in zip(x, vectors):
+        known = at[words] >= 0
+        own[at[words[known]]] = values[known]
+    x /= np.maximum(np.sqrt((x * x).sum(1)), 1e-12)[:, None]
+    n = -(-len(x) // BLOCK)
+    centres = x[np.random.default_rng(7).choice(len(x), n, replace=False)] if n else x
+    cluster = np.zeros(len(x), int)
+    for _ in range(5):
+        if not n:
+            break
+        cluster = np.argmax(x @ centres.T, 1)
+        total = np.zeros_like(centres)
+        np.add.at(total, cluster, x)
+        centres = np.where(total.any(1)[:, None], total / np.maximum(np.sqrt((total * total).sum(1)), 1e-12)[:, None], centres)
+    return np.lexsort((np.arange(len(x)), cluster))
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the words and their counts per example."""
+    for batch in slices(batches):
+        bags = [hashed(bag_of(t)) for t in batch.column("text").to_pylist()]
+        columns = [pa.array([b[0].tobytes() for b in bags], pa.binary()), pa.array([b[1].astype("<u4").tobytes() for b in bags], pa.binary())]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), *columns], names=["doc_id", "label", "words", "counts"])
 
 
 def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index:
@@ -202,61 +279,40 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index
     rows = labelled_sample(docs, labels, "toxic", DIVISOR, HELD_OUT, examples)
     # One example per text: copies would fill the neighbours of each other.
     rows = rows.groupBy(F.xxhash64("text").alias("_text"), "label").agg(F.min(F.struct("doc_id", "text")).alias("r")).select("r.doc_id", "r.text", "label")
-    # Read three times below; at most `examples` texts.
-    rows = materialise(rows, "examples")
-    sizes = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}
-    n, nt = sizes.get(0, 0), sizes.get(1, 0)
-    prior = (nt + 0.5) / (n + nt + 1)
-    if not n or not nt:
-        return Index.build([], Terms({}, np.zeros(0)), prior)
-    counted = rows.select("text", "label").mapInArrow(_counts, "word string, k bigint, kt bigint").groupBy("word").agg(F.sum("k").alias("k"), F.sum("kt").alias("kt"))
-    k, kt = F.col("k"), F.col("kt")
-
-    def part(seen: Column, size: int, hits: Column) -> Column:
-        return F.when((seen > 0) & (hits > 0), seen * F.log(seen * float(n + nt) / (size * hits))).otherwise(0.0)
-
-    # The G statistic of a term in k of n texts of label 0 and in kt of nt texts of label 1.
-    g = 2 * (part(k, n, k + kt) + part(kt, nt, k + kt) + part(n - k, n, n + nt - k - kt) + part(nt - kt, nt, n + nt - k - kt))
-    ratio = ((kt + 0.5) / nt) / ((k + 0.5) / n)
-    told = counted.where((k + kt >= LEAST_TEXTS) & ((ratio >= LEAST_RATIO) | (ratio <= 1 / LEAST_RATIO))).withColumn("g", g)
-    best = told.where(F.col("g") >= LEAST_EVIDENCE).orderBy(F.desc("g"), "word").limit(8 * TERMS).collect()
-    chosen: dict[str, tuple[int, int]] = {}
-    for r in best:
-        # What a chosen beginning of the term says as surely adds nothing.
-        shorter = [chosen[r["word"][:m]] for m in range(min(PREFIXES), len(r["word"])) if r["word"][:m] in chosen]
-        if len(chosen) < TERMS and not any(b[1] * (r["k"] + r["kt"]) >= 0.95 * r["kt"] * (b[0] + b[1]) for b in shorter):
-            chosen[r["word"]] = (r["k"], r["kt"])
-    idf = np.log((n + nt + 1) / (np.array([sum(c) for c in chosen.values()], float) + 1)) + 1
-    terms = Terms({w: i for i, w in enumerate(chosen)}, idf)
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [terms.vector(terms.counts(t or "")) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(2), pa.array([m[0].tolist() for m in made], pa.list_(pa.int32())), pa.array([m[1].tolist() for m in made], pa.list_(pa.float64()))],
-                names=["doc_id", "label", "at", "weight"],
-            )
-
-    found = rows.select("doc_id", "text", "label").mapInArrow(vectors, "doc_id bigint, label int, at array<int>, weight array<double>").collect()
-    index = Index.build([(r["doc_id"], r["label"], np.array(r["at"], int), np.array(r["weight"])) for r in found], terms, prior)
-    index.calibrate()
+    # Read twice below; at most `examples` texts.
+    path = store(rows, "examples")
+    rows = docs.sparkSession.read.schema(rows.schema).parquet(path)
+    made = rows.mapInArrow(_bags, "doc_id bigint, label int, words binary, counts binary").orderBy("doc_id", "label").toArrow().to_pydict()
+    bags = [(i, y, np.frombuffer(w, "<u8"), np.frombuffer(c, "<u4").astype(float)) for i, y, w, c in zip(made["doc_id"], made["label"], made["words"], made["counts"])]
+    index = Index.build(bags)
+    if {0, 1} <= set(index.labels.tolist()):
+        shared = docs.sparkSession.sparkContext.broadcast(index)
+
+        def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, AT_ONCE):
+                found = shared.value.votes_of_others(list(zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())))
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.float64()), batch.column("label")], names=["vote", "label"])
+
+        told = rows.mapInArrow(votes, "vote double, label int").toArrow()
+        index.calibrate(told.column("vote").to_numpy(), told.column("label").to_numpy())
+    remove(docs.sparkSession, path)
     return index
 
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, score and evidence (doc_id, label, cosine of the neighbours) per row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by EXAMPLES x TERMS
+    shared = docs.sparkSession.sparkContext.broadcast(index)  # the words of EXAMPLES texts
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
-        for batch in slices(batches):
-            scores, shown = [], []
-            for text in batch.column(1).to_pylist():
-                s, rows, cosines = own.score(text or "")
-                scores.append(s)
-                shown.append([{"doc_id": i, "label": int(y), "cosine": c} for i, y, c in zip(own.ids[rows].tolist(), own.labels[rows], cosines.tolist())])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64()), pa.array(shown, kind)], names=["doc_id", "score", "evidence"])
+        for batch in slices(batches, AT_ONCE):
+            found = own.scores(batch.column(1).to_pylist())
+            sizes = [len(rows) for _, rows, _ in found]
+            rows, cosines = (np.concatenate([np.zeros(0, kind_), *(f[c] for f in found)]) for c, kind_ in ((1, int), (2, float)))
+            shown = pa.StructArray.from_arrays([pa.array(own.ids[rows], pa.int64()), pa.array(own.labels[rows], pa.int32()), pa.array(cosines)], names=["doc_id", "label", "cosine"])
+            evidence = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), shown).cast(kind)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s for s, _, _ in found], pa.float64()), evidence], names=["doc_id", "score", "evidence"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, score double, evidence array<struct<doc_id:bigint,label:int,cosine:double>>")
 

@@ -68,22 +68,54 @@ def test_quality_odd(spark, odd, none):
     assert {r.score for r in Q.score(docs, untaught).collect()} == {0.5}
 
 
+def brute_force(index, texts, examples, k):
+    """Cosines of whole TF-IDF vectors, word by word, in dictionaries."""
+
+    def vector(text):
+        v = {w: (1 + np.log(n)) * index.weight[number[w]] for w, n in X.bag_of(text).items() if w in number}
+        length = np.sqrt(sum(x * x for x in v.values()))
+        return {w: x / length for w, x in v.items()}
+
+    hashes = index.words.tolist()
+    number = {w: hashes.index(h) for _, t in examples for w, h in zip(X.bag_of(t), X.hashed(X.bag_of(t))[0].tolist())}
+    known = [(i, vector(t)) for i, t in examples]
+    for text in texts:
+        own = vector(text)
+        found = [(round(sum(x * v.get(w, 0.0) for w, x in own.items()), 9), i) for i, v in known]
+        yield sorted([f for f in found if f[0] > 1e-9], key=lambda f: (-f[0], f[1]))[:k]
+
+
 def test_block_max_is_exact():
     rng = np.random.default_rng(3)
-    terms = X.Terms({f"t{k}$": k for k in range(40)}, rng.random(40) + 1)
-    vectors = []
-    for i in range(700):
-        counts = tuple((int(t), int(rng.integers(1, 4))) for t in sorted(rng.choice(40, rng.integers(0, 6), replace=False)))
-        vectors.append((int(rng.integers(0, 300)), int(rng.integers(0, 2)), *terms.vector(counts)))
-    index = X.Index.build(vectors, terms, 0.5)
-    for _ in range(60):
-        counts = tuple((int(t), 1) for t in sorted(rng.choice(40, rng.integers(0, 6), replace=False)))
-        at, weight = terms.vector(counts)
-        rows, cosines = index.nearest(at, weight)
-        every = np.round(index.weights[:, at] @ weight, 12)
-        best = np.lexsort((index.ids, -every))[: X.NEIGHBOURS]
-        assert cosines.tolist() == every[best].tolist()
-        assert index.ids[rows].tolist() == index.ids[best].tolist()
+    words = [f"w{k}" for k in range(300)]
+    zipf = 1 / np.arange(1, 301)
+    texts = [" ".join(rng.choice(words, rng.integers(0, 40), p=zipf / zipf.sum())) for _ in range(700)]
+    examples = [(int(i), t) for i, t in zip(rng.permutation(5000)[:700], texts)]
+    bags = [(i, int(rng.integers(0, 2)), *X.hashed(X.bag_of(t))) for i, t in examples]
+    index = X.Index.build(bags)
+    assert len(index.words) == len({w for t in texts for w in X.bag_of(t)}) and (index.weight > 0).all()
+    asked = texts[:40] + ["", "unknown words only", "w0", "w299 w298", *(" ".join(rng.choice(words, 60)) for _ in range(20))]
+    found = index.nearest([index.vector(X.bag_of(t)) for t in asked])
+    for (rows, cosines), best in zip(found, brute_force(index, asked, examples, X.NEIGHBOURS), strict=True):
+        assert cosines == pytest.approx([c for c, _ in best], abs=1e-8)
+        assert {i for c, i in zip(cosines, index.ids[rows].tolist()) if c > cosines[-1] + 1e-8} == {i for c, i in best if c > best[-1][0] + 1e-8}
+
+
+def test_blocks_are_left_out():
+    """Texts of two vocabularies: those of one don't visit the blocks of the other."""
+    rng = np.random.default_rng(5)
+    bags = []
+    for i in range(X.BLOCK * 8):
+        bag = X.bag_of(" ".join(rng.choice([f"{'ab'[i % 2]}{k}" for k in range(50)], 20)))
+        bags.append((i, i % 2, *X.hashed(bag)))
+    index = X.Index.build(bags)
+    mixed = {b for b in range(len(index.columns)) if 0 < index.labels[b * X.BLOCK : (b + 1) * X.BLOCK].sum() < X.BLOCK}
+    of_b = [b for b in range(len(index.columns)) if b not in mixed and index.labels[b * X.BLOCK]]
+    assert len(of_b) >= 3
+    index.columns[of_b] = np.nan  # whoever reads them gets no number
+    index.weights[np.isin(index.rows // X.BLOCK, of_b)] = np.nan
+    for rows, c in index.nearest([index.vector(X.bag_of(t)) for t in ("a1 a2 a3", "a7 a8", "a9")]):
+        assert (index.labels[rows] == 0).all() and np.isfinite(c).all() and len(rows) == X.NEIGHBOURS
 
 
 def test_toxicity_held_out(spark):
