@@ -34,6 +34,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -89,66 +90,86 @@ Vector = tuple[np.ndarray, np.ndarray]
 
 
 @dataclass
-class Index:
-    """Posting lists of the examples' words, cut by blocks."""
+class Packed:
+    """What the index is made of, small enough to be sent around: postings by word, then by row."""
 
     words: np.ndarray  # hashes of the words, ascending; a word's place is its number
-    weight: np.ndarray  # per word: idf times relevance
+    texts: np.ndarray  # per word: how many examples have it
+    rows: np.ndarray  # per posting: row and count
+    counts: np.ndarray
     ids: np.ndarray  # per row: doc_id
     labels: np.ndarray
-    prior: float
-    column: np.ndarray  # per word: its column, or -1
-    columns: np.ndarray  # blocks x BLOCK x columns
-    most_in: np.ndarray  # columns x blocks: the largest weight
-    first_part: np.ndarray  # per word and one more: where its parts start
-    part_block: np.ndarray  # per part: block, largest weight, and where its postings start
-    part_most: np.ndarray
-    part_start: np.ndarray
-    rows: np.ndarray  # per posting: row and weight
-    weights: np.ndarray
-    knots: Vector = (np.zeros(0), np.zeros(0))
 
     @classmethod
-    def build(cls, bags: Sequence[tuple[int, int, np.ndarray, np.ndarray]]) -> Index:
-        """bags: (doc_id, label, hashes of words, counts) of examples."""
-        number, each = np.unique(np.concatenate([b[2] for b in bags] or [np.zeros(0, np.uint64)]), return_inverse=True)
-        at = np.split(each, np.cumsum([len(b[2]) for b in bags])[:-1]) if bags else []
-        ids, labels = np.array([b[0] for b in bags], np.int64), np.array([b[1] for b in bags], np.int64)
-        n, nt = int((labels == 0).sum()), int((labels == 1).sum())
-        by_label = [np.bincount(np.concatenate([a for a, y in zip(at, labels) if y == label] or [np.zeros(0, int)]), minlength=len(number)) for label in (0, 1)]
-        weight = (np.log((n + nt + 1) / (by_label[0] + by_label[1] + 1)) + 1) * relevance(*map(np.float64, by_label), n, nt) if n and nt else np.ones(len(number))
-        vectors = [unit(a, b[3], weight) for a, b in zip(at, bags)]
-        order = _alike(vectors, len(number))
-        vectors = [vectors[k] for k in order]
-        blocks = max(1, -(-len(bags) // BLOCK))
-        sizes = [len(v[0]) for v in vectors]
-        word = np.concatenate([v[0] for v in vectors] or [np.zeros(0, int)])
-        value = np.concatenate([v[1] for v in vectors] or [np.zeros(0)])
-        row = np.repeat(np.arange(len(vectors)), sizes)
-        by_word = np.lexsort((row, word))
-        word, value, row = word[by_word], value[by_word], row[by_word]
+    def of(cls, bags: Sequence[tuple[int, int, np.ndarray, np.ndarray]]) -> Packed:
+        """bags: (doc_id, label, hashes of words, counts) of examples. Like examples get rows close together."""
+        ids, labels = np.array([b[0] for b in bags], np.int64), np.array([b[1] for b in bags], np.uint8)
+        words, word = np.unique(np.concatenate([b[2] for b in bags] or [np.zeros(0, np.uint64)]), return_inverse=True)
+        counts = np.concatenate([b[3] for b in bags] or [np.zeros(0)])
+        row = np.repeat(np.arange(len(bags)), [len(b[2]) for b in bags])
+
+        def by_word(row: np.ndarray) -> Packed:
+            order = np.lexsort((row, word))
+            own = cls(words, np.bincount(word, minlength=len(words)), row[order], counts[order].astype(np.int64), ids, labels)
+            own.texts, own.rows, own.counts = (x.astype(np.min_scalar_type(int(x.max(initial=0)))) for x in (own.texts, own.rows, own.counts))
+            return own
+
+        order = _alike(by_word(row), len(bags))
+        found = by_word(np.argsort(order)[row])
+        found.ids, found.labels = ids[order], labels[order]
+        return found
+
+    def weighed(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """Weight per word (idf times relevance), word and weight per posting, smoothed share of label 1."""
+        word = np.repeat(np.arange(len(self.words)), self.texts)
+        n, nt = int((self.labels == 0).sum()), int((self.labels == 1).sum())
+        kt = np.bincount(word, self.labels[self.rows], len(self.words))
+        told = relevance(self.texts - kt, kt, n, nt) if n and nt else np.ones(len(self.words))
+        weight = (np.log((n + nt + 1) / (self.texts.astype(float) + 1)) + 1) * told
+        value = (1 + np.log(self.counts.astype(float))) * weight[word]
+        length = np.sqrt(np.bincount(self.rows, value * value, len(self.ids)))
+        return weight, word, value / length[self.rows] if len(value) else value, (nt + 0.5) / (n + nt + 1)
+
+
+class Index:
+    """Posting lists of the examples' words, cut by blocks. It is sent packed, and built where it arrives."""
+
+    def __init__(self, packed: Packed):
+        self.packed, self.knots, self._sent = packed, (np.zeros(0), np.zeros(0)), None
+        self.words, self.ids, self.labels = packed.words, packed.ids, packed.labels.astype(np.int64)
+        self.weight, word, value, self.prior = packed.weighed()
+        row = packed.rows.astype(np.int64)
+        blocks = max(1, -(-len(self.ids) // BLOCK))
         block = row // BLOCK
         start = np.flatnonzero(np.append(True, (word[1:] != word[:-1]) | (block[1:] != block[:-1]))) if len(word) else np.zeros(0, int)
         most = np.maximum.reduceat(value, start) if len(start) else np.zeros(0)
-        n_parts = np.bincount(word[start], minlength=len(number))
-        column = np.full(len(number), -1)
-        widest = np.lexsort((np.arange(len(number)), -n_parts))[:COLUMNS]
+        n_parts = np.bincount(word[start], minlength=len(self.words))
+        widest = np.lexsort((np.arange(len(self.words)), -n_parts))[:COLUMNS]
         widest = widest[n_parts[widest] > 1]
-        column[widest] = np.arange(len(widest))
+        #: Per word its column, or -1; blocks x BLOCK x columns; columns x blocks: the largest weight.
+        self.column = np.full(len(self.words), -1)
+        self.column[widest] = np.arange(len(widest))
         dense = np.zeros((blocks * BLOCK, len(widest)))
-        in_column = column[word] >= 0
-        dense[row[in_column], column[word[in_column]]] = value[in_column]
-        dense = dense.reshape(blocks, BLOCK, len(widest))
-        # The other words' parts and postings.
-        of_part = column[word[start]] < 0
-        keep = ~in_column
-        size = np.diff(np.append(start, len(word)))[of_part]
-        return cls(
-            number, weight, ids[order], labels[order], (nt + 0.5) / (n + nt + 1),
-            column, dense, dense.max(1).T.copy(),
-            np.append(0, np.cumsum(np.where(column < 0, n_parts, 0))), block[start][of_part].astype(np.int32), most[of_part], np.append(0, np.cumsum(size)),
-            row[keep].astype(np.int32), value[keep],
-        )
+        in_column = self.column[word] >= 0
+        dense[row[in_column], self.column[word[in_column]]] = value[in_column]
+        self.columns = dense.reshape(blocks, BLOCK, len(widest))
+        self.most_in = self.columns.max(1).T.copy()
+        # Of the other words, per word and one more: where its parts start; per part: block, largest weight,
+        # and where its postings start; per posting: row and weight.
+        of_part = self.column[word[start]] < 0
+        self.first_part = np.append(0, np.cumsum(np.where(self.column < 0, n_parts, 0)))
+        self.part_block, self.part_most = block[start][of_part].astype(np.int32), most[of_part]
+        self.part_start = np.append(0, np.cumsum(np.diff(np.append(start, len(word)))[of_part]))
+        self.rows, self.weights = row[~in_column].astype(np.int32), value[~in_column]
+
+    def __reduce__(self) -> tuple:
+        return Index, (self.packed,)
+
+    def sent(self, spark: SparkSession) -> Broadcast:
+        """The index as a broadcast, bounded by the words of EXAMPLES texts; made once."""
+        if self._sent is None:
+            self._sent = spark.sparkContext.broadcast(self)
+        return self._sent
 
     def vector(self, bag: Counter[bytes]) -> Vector:
         """Word numbers and weights of unit length; words that no example has are left out."""
@@ -230,12 +251,12 @@ class Index:
         y = np.array([(p[1] + 0.5 * self.prior) / (p[2] + 0.5) for p in pools])
         self.knots = (x, np.maximum.accumulate(y) if len(y) else y)
 
-    def scores(self, texts: list[str | None]) -> list[tuple[float, np.ndarray, np.ndarray]]:
-        """Of each text the calibrated score, then rows and cosines of its neighbours."""
-        if not len(self.knots[0]):
+    def scores(self, texts: list[str | None], knots: Vector) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """Of each text the score that is calibrated by the knots, then rows and cosines of its neighbours."""
+        if not len(knots[0]):
             return [(self.prior, np.zeros(0, int), np.zeros(0)) for _ in texts]
         found = self.nearest([self.vector(bag_of(t)) for t in texts])
-        return [(float(np.interp(self.vote(rows, cosines), *self.knots)), rows, cosines) for rows, cosines in found]
+        return [(float(np.interp(self.vote(rows, cosines), *knots)), rows, cosines) for rows, cosines in found]
 
 
 def unit(at: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> Vector:
@@ -243,27 +264,25 @@ def unit(at: np.ndarray, counts: np.ndarray, weight: np.ndarray) -> Vector:
     return at, value / np.sqrt(value @ value) if len(at) else value
 
 
-def _alike(vectors: list[Vector], n_words: int) -> np.ndarray:
-    """An order of the vectors in which like ones stand together: by clusters over their commonest words."""
-    common = np.argsort(-np.bincount(np.concatenate([v[0] for v in vectors] or [np.zeros(0, int)]), minlength=n_words), kind="stable")[:COLUMNS]
-    at = np.full(n_words, -1)
+def _alike(packed: Packed, n: int) -> np.ndarray:
+    """An order of n rows in which like ones stand together: by clusters over their commonest words."""
+    common = np.argsort(-packed.texts.astype(int), kind="stable")[:COLUMNS]
+    at = np.full(len(packed.words), -1)
     at[common] = np.arange(len(common))
-    x = np.zeros((len(vectors), len(common)))
-    for own, (words, values) in zip(x, vectors):
-        known = at[words] >= 0
-        own[at[words[known]]] = values[known]
+    _, word, value, _ = packed.weighed()
+    known = at[word] >= 0
+    x = np.zeros((n, len(common)))
+    x[packed.rows[known], at[word[known]]] = value[known]
     x /= np.maximum(np.sqrt((x * x).sum(1)), 1e-12)[:, None]
-    n = -(-len(x) // BLOCK)
-    centres = x[np.random.default_rng(7).choice(len(x), n, replace=False)] if n else x
-    cluster = np.zeros(len(x), int)
-    for _ in range(5):
-        if not n:
-            break
-        cluster = np.argmax(x @ centres.T, 1)
+    clusters = -(-n // BLOCK)
+    centres = x[np.random.default_rng(7).choice(n, clusters, replace=False)] if n else x
+    own = np.zeros(n, int)
+    for _ in range(5 if n else 0):
+        own = np.argmax(x @ centres.T, 1)
         total = np.zeros_like(centres)
-        np.add.at(total, cluster, x)
+        np.add.at(total, own, x)
         centres = np.where(total.any(1)[:, None], total / np.maximum(np.sqrt((total * total).sum(1)), 1e-12)[:, None], centres)
-    return np.lexsort((np.arange(len(x)), cluster))
+    return np.lexsort((np.arange(n), own))
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -284,9 +303,9 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index
     rows = docs.sparkSession.read.schema(rows.schema).parquet(path)
     made = rows.mapInArrow(_bags, "doc_id bigint, label int, words binary, counts binary").orderBy("doc_id", "label").toArrow().to_pydict()
     bags = [(i, y, np.frombuffer(w, "<u8"), np.frombuffer(c, "<u4").astype(float)) for i, y, w, c in zip(made["doc_id"], made["label"], made["words"], made["counts"])]
-    index = Index.build(bags)
+    index = Index(Packed.of(bags))
     if {0, 1} <= set(index.labels.tolist()):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
+        shared = index.sent(docs.sparkSession)
 
         def votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in slices(batches, AT_ONCE):
@@ -301,13 +320,13 @@ def train(docs: DataFrame, labels: DataFrame, examples: int = EXAMPLES) -> Index
 
 def score(docs: DataFrame, index: Index) -> DataFrame:
     """doc_id, score and evidence (doc_id, label, cosine of the neighbours) per row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # the words of EXAMPLES texts
+    shared, knots = index.sent(docs.sparkSession), index.knots
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("label", pa.int32()), ("cosine", pa.float64())]))
         for batch in slices(batches, AT_ONCE):
-            found = own.scores(batch.column(1).to_pylist())
+            found = own.scores(batch.column(1).to_pylist(), knots)
             sizes = [len(rows) for _, rows, _ in found]
             rows, cosines = (np.concatenate([np.zeros(0, kind_), *(f[c] for f in found)]) for c, kind_ in ((1, int), (2, float)))
             shown = pa.StructArray.from_arrays([pa.array(own.ids[rows], pa.int64()), pa.array(own.labels[rows], pa.int32()), pa.array(cosines)], names=["doc_id", "label", "cosine"])

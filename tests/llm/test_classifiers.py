@@ -92,7 +92,7 @@ def test_block_max_is_exact():
     texts = [" ".join(rng.choice(words, rng.integers(0, 40), p=zipf / zipf.sum())) for _ in range(700)]
     examples = [(int(i), t) for i, t in zip(rng.permutation(5000)[:700], texts)]
     bags = [(i, int(rng.integers(0, 2)), *X.hashed(X.bag_of(t))) for i, t in examples]
-    index = X.Index.build(bags)
+    index = X.Index(X.Packed.of(bags))
     assert len(index.words) == len({w for t in texts for w in X.bag_of(t)}) and (index.weight > 0).all()
     asked = texts[:40] + ["", "unknown words only", "w0", "w299 w298", *(" ".join(rng.choice(words, 60)) for _ in range(20))]
     found = index.nearest([index.vector(X.bag_of(t)) for t in asked])
@@ -108,7 +108,7 @@ def test_blocks_are_left_out():
     for i in range(X.BLOCK * 8):
         bag = X.bag_of(" ".join(rng.choice([f"{'ab'[i % 2]}{k}" for k in range(50)], 20)))
         bags.append((i, i % 2, *X.hashed(bag)))
-    index = X.Index.build(bags)
+    index = X.Index(X.Packed.of(bags))
     mixed = {b for b in range(len(index.columns)) if 0 < index.labels[b * X.BLOCK : (b + 1) * X.BLOCK].sum() < X.BLOCK}
     of_b = [b for b in range(len(index.columns)) if b not in mixed and index.labels[b * X.BLOCK]]
     assert len(of_b) >= 3
