@@ -5,9 +5,10 @@ from __future__ import annotations
 import ctypes
 import ctypes.util
 import gc
+import operator
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -81,6 +82,33 @@ def rekeyed(key: Column | str) -> Column:
     return F.greatest(key, key)
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once; in a lambda, expressions are worked out at every mention."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def running(values: Column, combine: Callable[[Column, Column], Column] = operator.add, chunk: int = 256) -> Column:
+    """Of an array of non-negative ints, what all that come before each combine to (sum or maximum), as
+    longs; 0 for the first.
+
+    A plain fold copies its result at every step; in chunks the cost stays close to linear."""
+    zero = F.lit(0).cast("long")
+
+    def before(parts: Column) -> Column:
+        start = F.struct(zero.alias("sum"), F.expr("cast(array() as array<bigint>)").alias("out"))
+        return F.aggregate(parts, start, lambda acc, v: F.struct(combine(acc["sum"], v).alias("sum"), F.array_append(acc["out"], acc["sum"]).alias("out")), lambda acc: acc["out"])
+
+    def in_chunks(all_values: Column) -> Column:
+        last = F.greatest(F.ceil(F.size(all_values) / chunk) - 1, F.lit(0)).cast("int")
+        return let(F.transform(F.sequence(F.lit(0), last), lambda k: F.slice(all_values, k * chunk + 1, F.lit(chunk))), from_parts)
+
+    def from_parts(parts: Column) -> Column:
+        sums = F.transform(parts, lambda p: F.aggregate(p, zero, lambda a, v: combine(a, v)))
+        return let(before(sums), lambda at: F.flatten(F.transform(parts, lambda p, k: let(F.get(at, k), lambda start: F.transform(before(p), lambda v: combine(v, start))))))
+
+    return let(values, in_chunks)
+
+
 def remainder(doc_id: Column | str, divisor: int) -> Column:
     """crc32 of the id as text, modulo divisor; a null id counts as the empty text."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -1,26 +1,30 @@
 """Secret scanning over an incremental blob ledger.
 
 Every version of a file (here: a row of text) is content-addressed by its SHA-256. A rule is
-known by name and version, and the ledger holds one row per scanned (blob, rule, version) with
-the spans found. A scan takes only the pairs that the ledger lacks, so a text that occurs under a
-thousand paths is scanned once, an unchanged corpus is not scanned at all, and a new rule version
-rescans with that rule alone. Findings are then joined back to all paths that hold the blob.
+known by name and version, and the ledger, a stored table that only grows, holds for every scanned
+(blob, rule, version) the spans found. A scan takes only the pairs that the ledger lacks, so a text that
+occurs under a thousand paths is scanned once, an unchanged corpus is not scanned at all, and a new rule
+version rescans with that rule alone. Findings are then read from the ledger and joined to all paths that
+hold the blob.
 
 All of it is DataFrame operations: hashes, Java regular expressions and higher-order functions.
 
 Defined results: a null text is scanned as the empty text; rows with a null path keep their row;
 repeated rows each get the findings of their blob; an empty table gives empty frames; spans are
-code points with an exclusive end.
+code points with an exclusive end; the cost of a text grows with its length and with its number of
+matches, not with their product. Columns of docs named `blob` or `found` are replaced by those that
+`findings` adds; `clean` returns exactly the columns of docs, whatever their names.
 """
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import rekeyed, table
+from gridloom.llm.common import let, rekeyed, running, shared_dir, table
 
 
 @dataclass(frozen=True)
@@ -48,8 +52,10 @@ RULES = (
 )
 BASE_KINDS = ("assign", "access", "hex")
 
-LEDGER = "blob string, rule string, version int, spans array<struct<start:int,end:int>>"
 SPANS = "array<struct<start:int,end:int>>"
+LEDGER = f"blob string, results array<struct<rule:string,version:int,spans:{SPANS}>>"
+#: Code points in a part of a long text that is to be redacted.
+CUT = 4096
 
 
 def address(text: Column) -> Column:
@@ -60,69 +66,75 @@ def address(text: Column) -> Column:
 def spans_of(text: Column, rule: Rule) -> Column:
     """Spans of one rule in a text, by start.
 
-    The matched strings come in order from one pass of the expression; each is then located from
-    the end of the one before. No pattern looks around itself, so a matched string can't occur
-    earlier than its match."""
+    One pass of the expression gives the matches, another the stretches between them; the lengths of both
+    add up to the places."""
     found = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
-    walked = F.aggregate(
-        found,
-        F.struct(F.lit(1).alias("at"), F.expr(f"cast(array() as {SPANS})").alias("spans")),
-        lambda acc, m: F.struct(
-            (F.position(m, text, acc["at"]) + F.length(m)).alias("at"),
-            F.when(
-                F.length(F.regexp_extract(m, rule.pattern, rule.group)) >= rule.least,
-                F.concat(
-                    acc["spans"],
-                    F.array(
-                        F.struct(
-                            (F.position(m, text, acc["at"]) - 1).cast("int").alias("start"),
-                            (F.position(m, text, acc["at"]) - 1 + F.length(m)).cast("int").alias("end"),
-                        )
-                    ),
-                ),
-            )
-            .otherwise(acc["spans"])
-            .alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
+    between = F.transform(F.split(text, rule.pattern, -1), F.length)
+
+    def spans(matches: Column, stretches: Column) -> Column:
+        # The stretch before match k is the k-th; behind the last match there is one more.
+        sizes = F.transform(matches, lambda m, k: F.length(m) + F.get(stretches, k))
+        return let(running(sizes), lambda at: F.transform(matches, lambda m, k: let(F.get(at, k) + F.get(stretches, k), lambda start: F.struct(start.alias("start"), m.alias("m")))))
+
+    each = let(found, lambda matches: let(between, lambda stretches: spans(matches, stretches)))
+    kept = F.filter(each, lambda s: F.length(F.regexp_extract(s["m"], rule.pattern, rule.group)) >= rule.least)
+    walked = F.transform(kept, lambda s: F.struct(s["start"].cast("int").alias("start"), (s["start"] + F.length(s["m"])).cast("int").alias("end")))
     return F.when(text.rlike(rule.hint), walked).otherwise(F.expr(f"cast(array() as {SPANS})"))
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+def scan(docs: DataFrame, ledger: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Scan the (blob, rule, version) triples of docs that the ledger lacks.
 
-    Returns one row per blob with something to scan: blob, results (rule, version, spans)."""
+    Returns what the ledger is to have added: one row per blob with something to scan, blob and results
+    (rule, version, spans); rules without a finding too."""
     body = F.coalesce(F.col(text), F.lit(""))
     blobs = docs.select(address(F.col(text)).alias("blob"), body.alias("body")).dropDuplicates(["blob"])
-    if ledger is None:
-        pending = None
-    else:
-        seen = ledger.groupBy("blob").agg(F.collect_set(F.concat_ws("@", "rule", "version")).alias("seen"))
-        blobs = blobs.join(seen, "blob", "left")
-        pending = F.array_except(F.array(*[F.lit(f"{r.kind}@{r.version}") for r in rules]), F.coalesce("seen", F.array().cast("array<string>")))
-        blobs = blobs.withColumn("pending", pending).where(F.size("pending") > 0)
-    results = []
-    for r in rules:
-        result = F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), spans_of(F.col("body"), r).alias("spans"))
-        results.append(result if pending is None else F.when(F.array_contains("pending", f"{r.kind}@{r.version}"), result))
+    known = F.transform("results", lambda r: F.concat_ws("@", r["rule"], r["version"]))
+    seen = ledger.groupBy(F.col("blob").alias("_blob")).agg(F.flatten(F.collect_list(known)).alias("seen"))
+    wanted = F.array(*[F.lit(f"{r.kind}@{r.version}") for r in rules])
+    lacking = F.array_except(wanted, F.coalesce("seen", F.expr("cast(array() as array<string>)")))
+    blobs = blobs.join(seen, F.col("blob") == F.col("_blob"), "left").withColumn("pending", lacking).where(F.size("pending") > 0)
+    results = [
+        F.when(
+            F.array_contains("pending", f"{r.kind}@{r.version}"),
+            F.struct(F.lit(r.kind).alias("rule"), F.lit(r.version).alias("version"), spans_of(F.col("body"), r).alias("spans")),
+        )
+        for r in rules
+    ]
     return blobs.select("blob", F.filter(F.array(*results), lambda x: x.isNotNull()).alias("results"))
 
 
-def ledger_rows(scanned: DataFrame) -> DataFrame:
-    """What a scan adds to the ledger: blob, rule, version, spans; pairs without a finding too."""
-    return scanned.select("blob", F.inline("results"))
+class Ledger:
+    """A ledger in a folder that only grows: each scan adds its own files."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def rows(self) -> DataFrame:
+        """blob and results (rule, version, spans) of every scan so far."""
+        there = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        if not there.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(there):
+            return self.spark.createDataFrame([], LEDGER)
+        return self.spark.read.schema(LEDGER).parquet(self.path)
+
+    def extend(self, docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> Ledger:
+        """Scan what is unseen of docs, and add it."""
+        scan(docs, self.rows(), text, rules).write.mode("append").parquet(self.path)
+        return self
 
+    def findings(self, docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
+        """docs with `blob` and `found`: array of (rule, version, spans) of the rules' present versions.
+        Every path of a blob gets its findings."""
+        current = [f"{r.kind}@{r.version}" for r in rules]
+        rows = self.rows().select(F.col("blob").alias("_blob"), F.filter("results", lambda r: F.concat_ws("@", r["rule"], r["version"]).isin(current)).alias("results"))
+        # A blob has one row per scan that had something to add for it.
+        found = rows.groupBy("_blob").agg(F.flatten(F.collect_list("results")).alias("found")).select(rekeyed("_blob").alias("_blob"), "found")
+        return docs.drop("found").withColumn("blob", address(F.col(text))).join(found, F.col("blob") == F.col("_blob"), "left").drop("_blob")
 
-def findings(docs: DataFrame, scanned: DataFrame, ledger: DataFrame | None = None, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """docs with `blob` and `found`: array of (rule, spans) of the rules' present versions, from
-    the scan and, if given, from the ledger. Every path of a blob gets its findings."""
-    if ledger is not None:
-        current = F.concat_ws("@", "rule", "version").isin([f"{r.kind}@{r.version}" for r in rules])
-        known = ledger_rows(scanned).unionByName(ledger.select("blob", "rule", "version", "spans"))
-        scanned = known.where(current).groupBy("blob").agg(F.collect_list(F.struct("rule", "version", "spans")).alias("results"))
-    found = scanned.select(rekeyed("blob").alias("_blob"), F.col("results").alias("found"))
-    return docs.withColumn("blob", address(F.col(text))).join(found, F.col("blob") == F.col("_blob"), "left").drop("_blob")
+
+def own_ledger(spark: SparkSession) -> Ledger:
+    """A new, empty ledger in the shared folder."""
+    return Ledger(spark, f"{shared_dir(spark)}/gridloom-ledger-{uuid.uuid4().hex}")
 
 
 def spans_string(found: Column, kinds: tuple[str, ...]) -> Column:
@@ -148,28 +160,34 @@ def count_of(found: Column, kind: str) -> Column:
 def redact(docs: DataFrame, found: str = "found", text: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The text with every found span replaced by a mark; overlapping spans count as one.
 
-    The text between spans is kept as it is. A text without findings comes back unchanged."""
+    The text between spans is kept as it is, cut from parts of CUT code points, so that no place is
+    looked for from the text's start. A text without findings comes back unchanged."""
     flat = F.array_sort(F.flatten(F.transform(F.col(found), lambda r: r["spans"])))
-    start = F.struct(F.lit(1).alias("at"), F.lit("").alias("out"))
-    cleaned = F.aggregate(
-        flat,
-        start,
-        lambda acc, s: F.when(
-            s["start"] + 1 >= acc["at"],
-            F.struct(
-                (s["end"] + 1).alias("at"),
-                F.concat(acc["out"], F.substring(F.col(text), acc["at"], s["start"] + 1 - acc["at"]), F.lit(mark)).alias("out"),
-            ),
-        ).otherwise(F.struct(F.greatest(acc["at"], s["end"] + 1).alias("at"), acc["out"].alias("out"))),
-        lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"], F.length(F.col(text)))),
-    )
-    return docs.withColumn(text, F.when(F.size(flat) > 0, cleaned).otherwise(F.col(text)))
+    parts = F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{CUT}}}"), F.lit(0))
+
+    def cut(parts: Column, a: Column, b: Column) -> Column:
+        """Code points [a, b) of the text."""
+        first, last = F.floor(a / CUT).cast("int"), F.floor((b - 1) / CUT).cast("int")
+        head = (a - first * CUT + 1).cast("int")
+        middle = F.array_join(F.slice(parts, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+        more = F.concat(F.substring(F.get(parts, first), head, F.lit(CUT)), middle, F.substring(F.get(parts, last), F.lit(1), (b - last * CUT).cast("int")))
+        return F.when(b <= a, "").when(first == last, F.substring(F.get(parts, first), head, (b - a).cast("int"))).otherwise(more)
+
+    def marked(spans: Column, parts: Column, reach: Column) -> Column:
+        """reach: how far the spans before each go; a span within them has no mark of its own."""
+        pieces = F.transform(spans, lambda s, k: let(F.get(reach, k), lambda r: F.when(s["start"] >= r, F.concat(cut(parts, r, s["start"]), F.lit(mark))).otherwise("")))
+        return F.concat(F.array_join(pieces, ""), let(F.array_max(F.transform(spans, lambda s: s["end"])), lambda end: cut(parts, end, F.length(F.col(text)))))
+
+    def over(spans: Column) -> Column:
+        return let(running(F.transform(spans, lambda s: s["end"]), F.greatest), lambda reach: let(parts, lambda p: marked(spans, p, reach)))
+
+    return docs.withColumn(text, F.when(F.size(flat) > 0, let(flat, over)).otherwise(F.col(text)))
 
 
 def clean(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """docs (with text and n_chars) with every secret redacted; no row goes, none changes without one."""
     wrapped = docs.select(F.struct("*").alias("row"), F.col("text"))
-    found = findings(wrapped, scan(wrapped, rules=rules), rules=rules)
+    found = own_ledger(docs.sparkSession).extend(wrapped, rules=rules).findings(wrapped, rules=rules)
     done = redact(found).select("row", "text")
     changed = F.when(F.col("text").isNull() | (F.col("text") == F.col("row.text")), F.col("row.n_chars")).otherwise(F.length("text"))
     fields = {"text": F.col("text"), "n_chars": changed.cast(docs.schema["n_chars"].dataType)}
@@ -177,10 +195,10 @@ def clean(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 
 def op4_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Secrets of every whole text of `documents`, each distinct text scanned once."""
+    """Secrets of every whole text of `documents`: the texts are scanned into a ledger, each distinct one
+    once, and the findings come out of the ledger."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    scanned = scan(docs)
-    found = findings(docs, scanned).select("doc_id", "found")
+    found = own_ledger(spark).extend(docs).findings(docs).select("doc_id", "found")
     return found.select(
         "doc_id",
         *[count_of(F.col("found"), k).alias(f"n_{k}") for k in BASE_KINDS],
