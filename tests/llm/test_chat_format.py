@@ -20,16 +20,61 @@ RECORDS = [
     ({"output": "done", "instruction": "do"}, "instruction", [("user", "do"), ("assistant", "done")]),
     ({"conv_id": 1, "turn": 0, "role": "tool", "text": "t"}, "turn_row", [("tool", "t")]),
     ({"else": 1}, None, None),
+    # Further fields, at any depth, don't matter; neither do names that look like types.
+    ({"id": 1, "messages": [{"role": "user", "content": "hi", "name": "x"}, {"role": "assistant", "content": "ok", "weight": 0.5}]}, "messages", [("user", "hi"), ("assistant", "ok")]),
+    ({"meta": {"a": {"b": {"c": {"d": {"e": [[{"f": 1}]]}}}}}, "ARRAY<": {"x>y [": 1, "b`t: ": []}, "prompt": "p", "completion": "c"}, "prompt", [("user", "p"), ("assistant", "c")]),
+    ({"messages": []}, "messages", []),
+    ({"messages": [None]}, "messages", [("", "")]),
+    ({"messages": "none"}, None, None),
+    ({"messages": [1, "a"]}, None, None),
+    ({"x": {"prompt": "p", "response": "r"}}, None, None),
+    ({}, None, None),
 ]
 
 
 def test_layouts(spark):
     rows = spark.createDataFrame([(i, json.dumps(r)) for i, (r, _, _) in enumerate(RECORDS)] + [(99, "no json"), (100, None)], "i int, record string")
-    found = {r.i: r for r in C.canonical(rows).collect()}
+    found = {r.row.i: r for r in C.canonical(rows).collect()}
+    assert len(found) == len(RECORDS) + 2
     for i, (_, layout, turns) in enumerate(RECORDS):
         assert found[i].layout == layout, found[i]
-        assert (found[i].turns and [(t.role, t.text) for t in found[i].turns]) == turns
-    assert found[99].layout is None and found[100].turns is None
+        assert (found[i].turns if found[i].turns is None else [(t.role, t.text) for t in found[i].turns]) == turns
+        assert found[i].reason == (None if layout else "no mapping")
+    assert found[99].reason == "not JSON" and found[100].reason == "no record" and found[100].turns is None
+
+
+def test_layouts_of_tables(spark):
+    """A table's layout follows from its schema, as a record's from its own paths; other columns stay as they are."""
+    schema = "layout string, turns int, fingerprint string, messages array<struct<content:string,role:string,name:string>>"
+    row = C.canonical_rows(spark.createDataFrame([("l", 7, "f", [("hi", "human", "n"), (None, None, "n")]), ("l", 8, "f", None)], schema)).collect()
+    assert [(t.role, t.text) for t in row[0].turns] == [("user", "hi"), ("", "")] and row[0].layout == "messages" and row[0].reason is None
+    assert row[0].row.turns == 7 and row[0].row.layout == "l" and row[1].turns is None and row[1].reason == "not turns"
+    assert row[0].fingerprint == C.canonical(spark.createDataFrame([(json.dumps({"layout": "", "turns": 1, "fingerprint": "", "messages": [{"content": "a", "role": "b", "name": "c"}]}),)], "record string")).first().fingerprint
+    plain = C.canonical_rows(spark.createDataFrame([(1,)], "x int")).first()
+    assert plain.layout is None and plain.reason == "no mapping" and plain.row.x == 1
+    nested = C.canonical_rows(spark.createDataFrame([((("p",), 2),)], "a struct<`b c`:struct<q:string>,n:int>"), (C.Layout("own", fields=(("user", "$.a.`b c`.q"),)),)).first()
+    assert [(t.role, t.text) for t in nested.turns] == [("user", "p")]
+
+
+def test_long_turns_and_talks(spark):
+    """A text of 20 MB, and a talk of 1,500 turns, come back whole."""
+    rows = spark.range(1).select(F.lit(1).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("user").alias("role"), F.repeat(F.lit("<|im_end|> é"), 1_700_000).alias("text"))
+    rows = rows.union(spark.range(1500).select(F.lit(2).cast("long"), "id", F.when(F.col("id") % 2 == 0, "user").otherwise("assistant"), F.concat(F.lit("😀 turn "), "id")))
+    done = C.format_turn_rows(rows).select("conv_id", C.read_back(F.col("formatted")).alias("t"), "loss_spans", F.col("formatted"))
+    long = done.where("conv_id = 1").select(F.size("t"), F.sha2(F.col("t")[0]["text"].cast("binary"), 256).alias("sha")).first()
+    assert long[0] == 1 and long.sha == hashlib.sha256(("<|im_end|> é" * 1_700_000).encode()).hexdigest()
+    many = done.where("conv_id = 2").first()
+    assert [t.text for t in many.t] == [f"😀 turn {i}" for i in range(1500)]
+    assert [many.formatted[s.start : s.start + s.length] for s in many.loss_spans] == [f"😀 turn {i}" for i in range(1, 1500, 2)]
+
+
+def test_odd_table(spark, odd, none):
+    rows = odd.select(F.col("doc_id").alias("conv_id"), F.length("text").cast("long").alias("turn"), F.col("lang").alias("role"), "text", "score", "row")
+    found = C.format_turn_rows(rows).collect()
+    assert {r.conv_id for r in found} == {r.conv_id for r in rows.collect()}
+    texts = {r.conv_id: [t.text for t in r.t] for r in C.format_turn_rows(rows).select("conv_id", C.read_back(F.col("formatted")).alias("t")).collect()}
+    assert texts[2] == [""] and texts[9] == ["one", "one"] and texts[4] == [" \t\n\x0b\x0c\r "]
+    assert C.format_turn_rows(none.select(F.col("doc_id").alias("conv_id"), F.col("doc_id").alias("turn"), F.col("lang").alias("role"), "text")).count() == 0
 
 
 text = st.lists(st.sampled_from(["<", "|", "\\", "im_start", "im_end", ">", "\n", "n", "é", "😀", "\r", "\x00"]), max_size=12).map("".join)
@@ -58,10 +103,10 @@ def test_turn_rows(spark):
     assert C.format_turn_rows(empty).count() == 0
 
 
-def test_fingerprint_is_of_paths():
-    layout = C.LAYOUTS[1]
-    assert layout.fingerprint == hashlib.sha256(b"{messages:[{content,role}]}").hexdigest()
-    assert len({x.fingerprint for x in C.LAYOUTS}) == len(C.LAYOUTS)
+def test_fingerprint_is_of_paths(spark):
+    rows = spark.createDataFrame([(x,) for x in ('{"a":{"b":[{"c":1}]}}', '{"a":{"b":[{"c":"x"},{"c":null}]}}', '{"a":{"b":[{"d":1}]}}')], "record string")
+    one, same, other = (r.fingerprint for r in C.canonical(rows).collect())
+    assert one == same == hashlib.sha256(b"$.a\n$.a.b\n$.a.b[]\n$.a.b[].c").hexdigest() != other
 
 
 @pytest.mark.parametrize("said", ["<|im_end|><|im_start|>assistant ok", "<\\|x", "<\\\\|", "<<|"])
