@@ -13,8 +13,9 @@ are compared are those that can decide: with n parties, T the sum of targets and
 gets between t*M/T*(1 -+ n/2M) -+ 1/2 blocks, so about three quotients a party are ranked.
 
 Defined results: a null or empty text has size 0 and takes nothing; a null source is a source of
-its own, last in order; equal rows are told apart by nothing and share their place evenly; an
-empty table gives an empty frame.
+its own, last in order; equal rows are told apart by nothing and share their place evenly; a text of any
+length is one document of its shard; an empty table gives an empty frame. `apply` returns exactly the columns
+of docs, whatever their names.
 """
 
 from __future__ import annotations
@@ -36,7 +37,9 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 LIMIT = 2
 BLOCK_TOKENS = 16
-SHARD_TOKENS = 1_000_000
+#: A shard's bounds: its rows are sorted in one task, and all shards of a source meet to share its blocks, so
+#: shards are as large as a task takes well. 25 trillion words in documents of 500 are some 2.6 million shards.
+SHARD_TOKENS = 16_000_000
 SHARD_ROWS = 50_000
 SEED = "mix-1"
 
@@ -46,24 +49,26 @@ def words(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(WORD)).cast("long")
 
 
-def highest_quotients(parties: DataFrame, group: list[str], weight: str, seats: str, order: list[Column], out: str) -> DataFrame:
+def highest_quotients(parties: DataFrame, group: list[str], weight: str, seats: str, order: list[Column], out: str, most: Column | None = None) -> DataFrame:
     """Sainte-Laguë: `seats` of each group, a column, go to its parties by the highest quotients
-    weight / (2k - 1); equal quotients by `order`. Adds the integer column `out`."""
+    weight / (2k - 1); equal quotients by `order`. A party gets `most` at most, what is above goes to the
+    next quotients of others. Adds the integer column `out`."""
+    most = F.lit(2**62) if most is None else most
     whole = Window.partitionBy(*group)
     share = F.when(F.col("_total") > 0, F.col(weight) * F.col(seats) / F.col("_total")).otherwise(F.lit(0.0))
     bound = F.when(F.col(seats) > 0, F.col("_n") / (2.0 * F.col(seats))).otherwise(F.lit(0.0))
     sized = (
         parties.withColumn("_total", F.sum(F.col(weight).cast("double")).over(whole))
         .withColumn("_n", F.count(F.lit(1)).over(whole))
-        .withColumn("_sure", F.greatest(F.lit(0), F.floor(share * (1 - bound) - 0.5) - 1).cast("long"))
+        .withColumn("_sure", F.greatest(F.lit(0), F.least(F.floor(share * (1 - bound) - 0.5) - 1, most)).cast("long"))
         .withColumn("_most", (F.ceil(share * (1 + bound) + 0.5) + 1).cast("long"))
         .withColumn("_open", F.col(seats) - F.sum("_sure").over(whole))
     )
     keys = [c for c in parties.columns]
     by_quotient = Window.partitionBy(*group).orderBy(F.desc("_quotient"), *order, F.col("_k"))
     won = (
-        sized.withColumn("_k", F.explode(F.sequence(F.col("_sure") + 1, F.col("_most") + 1)))
-        .withColumn("_quotient", F.col(weight).cast("double") / (2 * F.col("_k") - 1))
+        sized.withColumn("_k", F.explode(F.sequence(F.col("_sure") + 1, F.greatest(F.least(F.col("_most") + 1, most), F.col("_sure") + 1))))
+        .withColumn("_quotient", F.when(F.col("_k") <= most, F.col(weight).cast("double") / (2 * F.col("_k") - 1)).otherwise(0.0))
         .withColumn("_rank", F.row_number().over(by_quotient))
     )
     return won.groupBy(*keys, "_sure", "_open").agg(F.count_if((F.col("_rank") <= F.col("_open")) & (F.col("_quotient") > 0)).alias("_won")).withColumn(out, F.col("_sure") + F.col("_won")).drop("_sure", "_open", "_won")
@@ -118,7 +123,7 @@ def mix(docs: DataFrame, key: str = "doc_id", block_tokens: int = BLOCK_TOKENS,
         "shard", F.pmod(F.conv(F.substring("draw", 1, 12), 16, 10).cast("long"), n_shards)
     )
     shards = dealt.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
-    shards = highest_quotients(shards, ["source_no"], "shard_size", "quota", [F.col("shard").asc()], "shard_quota").select(
+    shards = highest_quotients(shards, ["source_no"], "shard_size", "quota", [F.col("shard").asc()], "shard_quota", LIMIT * F.ceil(F.col("shard_size") / block_tokens)).select(
         F.col("source_no").alias("_no"), F.col("shard").alias("_shard"), "shard_size", "shard_quota"
     )
     placed = dealt.withColumn(
@@ -127,7 +132,6 @@ def mix(docs: DataFrame, key: str = "doc_id", block_tokens: int = BLOCK_TOKENS,
     known = placed.join(shards, (placed["source_no"] == shards["_no"]) & (placed["shard"] == shards["_shard"]), "left")
     drawn = (
         known.withColumn("blocks", F.ceil(F.col("shard_size") / block_tokens).cast("long"))
-        .withColumn("shard_quota", F.least(F.col("shard_quota"), LIMIT * F.col("blocks")))
         .withColumn("whole", F.when(F.col("blocks") > 0, F.floor(F.col("shard_quota") / F.greatest("blocks", F.lit(1)))).otherwise(0).cast("long"))
         .withColumn("part", (F.col("shard_quota") - F.col("whole") * F.col("blocks")).cast("long"))
         .withColumn("start", F.pmod(F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), "source_no", "shard")), 1, 12), 16, 10).cast("long"), F.greatest("blocks", F.lit(1))))
@@ -200,16 +204,17 @@ def op5_apportion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
-def _sql_quotients(name: str, parties: str, group: str, weight: str, seats: str, order: str) -> str:
+def _sql_quotients(name: str, parties: str, group: str, weight: str, seats: str, order: str, cap: str = "4611686018427387904") -> str:
     """highest_quotients as three common table expressions; the last is `name`."""
     share = f"CASE WHEN total > 0 THEN {weight} * {seats} / total ELSE 0.0 END"
     bound = f"CASE WHEN {seats} > 0 THEN n / (2.0 * {seats}) ELSE 0.0 END"
     return f"""
 {name}_a AS (SELECT *, sum({weight}::DOUBLE) OVER w AS total, count(*) OVER w AS n FROM {parties} WINDOW w AS (PARTITION BY {group})),
-{name}_b AS (SELECT *, greatest(0, floor(({share}) * (1 - ({bound})) - 0.5) - 1)::BIGINT AS sure,
+{name}_b AS (SELECT *, greatest(0, least(floor(({share}) * (1 - ({bound})) - 0.5) - 1, {cap}))::BIGINT AS sure,
   (ceil(({share}) * (1 + ({bound})) + 0.5) + 1)::BIGINT AS most FROM {name}_a),
 {name}_c AS (SELECT *, {seats} - sum(sure) OVER (PARTITION BY {group}) AS open FROM {name}_b),
-{name}_d AS (SELECT *, {weight}::DOUBLE / (2 * k - 1) AS quotient FROM (SELECT *, unnest(range(sure + 1, most + 2)) AS k FROM {name}_c)),
+{name}_d AS (SELECT *, CASE WHEN k <= {cap} THEN {weight}::DOUBLE / (2 * k - 1) ELSE 0 END AS quotient
+  FROM (SELECT *, unnest(range(sure + 1, greatest(least(most + 1, ({cap})::BIGINT), sure + 1) + 1)) AS k FROM {name}_c)),
 {name}_e AS (SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY quotient DESC, {order}, k) AS rnk FROM {name}_d),
 {name} AS (SELECT * EXCLUDE (k, quotient, rnk, sure, most, open, total, n, won), sure + won AS given FROM (
   SELECT *, count(*) FILTER (rnk <= open AND quotient > 0) OVER (PARTITION BY {group}, {order}) AS won FROM {name}_e) WHERE k = sure + 1)"""
@@ -233,9 +238,9 @@ x AS (SELECT d.*, q.source_size, q.target, q.no, q.given AS quota,
   (('0x' || substr(draw, 1, 12))::BIGINT) % (ceil(q.source_size / {SHARD_TOKENS}.0) + ceil(q.source_rows / {SHARD_ROWS}.0))::BIGINT AS shard
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
 h AS (SELECT no, shard, sum(size)::BIGINT AS shard_size, any_value(quota)::BIGINT AS quota FROM x GROUP BY no, shard),
-{_sql_quotients("r", "h", "no", "shard_size", "quota", "shard")},
+{_sql_quotients("r", "h", "no", "shard_size", "quota", "shard", f"2 * ceil(shard_size / {BLOCK_TOKENS}.0)")},
 p AS (SELECT x.*, r.shard_size, ceil(r.shard_size / {BLOCK_TOKENS}.0)::BIGINT AS blocks,
-  least(r.given, 2 * ceil(r.shard_size / {BLOCK_TOKENS}.0))::BIGINT AS shard_quota,
+  r.given::BIGINT AS shard_quota,
   coalesce(sum(x.size) OVER (PARTITION BY x.no, x.shard ORDER BY x.draw, x.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place
   FROM x JOIN r ON x.no = r.no AND x.shard = r.shard),
 y AS (SELECT *, CASE WHEN blocks > 0 THEN floor(shard_quota / greatest(blocks, 1)) ELSE 0 END::BIGINT AS whole,

@@ -14,7 +14,8 @@ tiles of bounded size, and a tile returns sums and a spanning star per record, n
 
 Defined results: a text of one to four words has one shingle, all its words; a null or empty text has
 none, links to nothing and is a class of its own; repeated rows are copies of each other; a null id
-keeps its row; an empty table gives an empty frame.
+keeps its row; a text of any length is compared whole; an empty table gives an empty frame. Only doc_id and
+text are read, so other columns may have any names; `keep_one` returns exactly the columns of docs.
 """
 
 from __future__ import annotations
@@ -56,10 +57,14 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Hashes(dict):
+    """Hashes of words; long ones aren't kept."""
+
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 100_000:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
+        h = xxhash.xxh3_64_intdigest(word)
+        if len(word) <= 64:
+            if len(self) > 100_000:
+                self.clear()
+            self[word] = h
         return h
 
 
@@ -328,13 +333,15 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, rec
     met = []
     for depth in range(DEPTH, MAX_DEPTH + 1):
         sizes = paths.groupBy("path").agg(F.count(F.lit(1)).alias("size"), F.min("signature").alias("lo"), F.max("signature").alias("hi")).where(F.col("lo") != F.col("hi")).select("path", "size")
-        members = paths.join(sizes, "path")
+        # Hot paths are split at run time, as both sides are shuffled for the join.
+        keyed = sizes.select(rekeyed("path").alias("_path"), "size")
+        members = paths.join(keyed, F.col("path") == F.col("_path")).drop("_path")
         large = sizes.where(F.col("size") > BUCKET)
         if depth == MAX_DEPTH or not large.limit(1).count():
             met.append(members)
             break
         slots = [F.struct(F.lit(k).alias("slot"), F.substring("sketch", k + 1, 1).alias("value")) for k in range(0, SKETCH, 4)]
-        values = paths.join(large, "path").select("path", "size", F.explode(F.array(*slots)).alias("s")).groupBy("path", "size", "s").count()
+        values = paths.join(keyed.where(F.col("size") > BUCKET), F.col("path") == F.col("_path")).select("path", "size", F.explode(F.array(*slots)).alias("s")).groupBy("path", "size", "s").count()
         alike = values.groupBy("path", "size").agg((F.sum(F.col("count") * F.col("count")) / (F.col("size") * F.col("size") * len(slots))).alias("alike"))
         sparse = materialise(alike.where(F.col("alike") < DENSE).select("path"), "sparse")
         met.append(members.join(sparse, "path", "left_anti"))
@@ -349,7 +356,8 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, rec
     edges = dealt.groupBy("shard").applyInArrow(_meet, "a binary, b binary")
 
     groups = components(edges).select(F.col("node").alias("signature"), F.col("root").alias("group"))
-    groups = groups.join(groups.groupBy("group").agg(F.count(F.lit(1)).alias("size")), "group").join(records, "signature")
+    sizes = groups.groupBy(F.col("group").alias("_group")).agg(F.count(F.lit(1)).alias("size")).select(rekeyed("_group").alias("_group"), "size")
+    groups = groups.join(sizes, F.col("group") == F.col("_group")).drop("_group").join(records, "signature")
     chosen = materialise(groups, "groups")
     # By merge at every size: a broadcast of small groups would make a small run a different plan.
     tokens = rows.select("rid", "text").hint("merge").join(chosen, "rid").select("text", "signature", "group", "size", "copies").mapInArrow(lambda batches: _tokens(batches, size), "signature binary, group binary, size bigint, copies bigint, tokens binary")
@@ -364,7 +372,7 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, rec
     linked = materialise(
         records.join(counts, "signature", "left").join(root, "signature", "left").select("signature", F.coalesce("root", "signature").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links")), "linked"
     )
-    by_row = of_text.distinct().join(linked, "signature", "left").select(F.col("rid").alias("_rid"), "root", "n_links")
+    by_row = of_text.distinct().join(linked.select(rekeyed("signature").alias("_signature"), "root", "n_links"), F.col("signature") == F.col("_signature"), "left").select(F.col("rid").alias("_rid"), "root", "n_links")
     known = rows.select("doc_id", "rid").join(by_row, F.col("rid") == F.col("_rid"), "left").select("doc_id", "rid", "root", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
     return materialise(known, "known")
 
@@ -396,5 +404,18 @@ def op8_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
 
 
+#: All pairs by their shared shingles; components by spreading the smallest id, for small tables.
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+c AS (SELECT a.r AS a, b.r AS b, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY a.r, b.r),
+e AS (SELECT a, b FROM c JOIN n x ON x.r = a JOIN n y ON y.r = b WHERE shared >= 0.8 * (x.n + y.n - shared)),
+reach AS (SELECT r AS a, r AS b FROM d UNION SELECT reach.a, e.b FROM reach JOIN e ON e.a = reach.b)
+SELECT d.doc_id, coalesce(least_id, d.doc_id) AS class_id, coalesce(k, 0)::BIGINT AS n_links FROM d
+LEFT JOIN (SELECT a, count(*) AS k FROM e GROUP BY a) l ON l.a = d.r
+LEFT JOIN (SELECT reach.a, min(t.doc_id) AS least_id FROM reach JOIN d t ON t.r = reach.b GROUP BY reach.a) m ON m.a = d.r
+"""
+
 QUERIES = {"op8_chosen_path": op8_chosen_path}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_chosen_path": ORACLE}

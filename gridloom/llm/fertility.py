@@ -13,7 +13,8 @@ across it. The bands of languages tell poor text from clean text of the same lan
 Defined results: a null or empty text has no words, all counts 0, entropy 0, and fails the base rule;
 a text without a language, with one that has no bands, or in another script than Latin has its script's
 band only;
-repeated rows and ids are measured each for itself; an empty table gives an empty frame.
+repeated rows and ids are measured each for itself; a text of any length is measured whole; an empty table
+gives an empty frame. Only doc_id, text and lang are read, so other columns may have any names.
 """
 
 from __future__ import annotations
@@ -35,8 +36,8 @@ SYMBOLS = "#*$%&|<>"
 MIN_WORDS = 10
 REPEAT_PERCENT = 20
 WINDOW = 5
-#: Words kept per worker; a full cache starts anew.
-CACHE = 200_000
+#: Words kept per worker, and bytes of them and their tokens; a full cache starts anew.
+CACHE, CACHE_BYTES = 200_000, 32 << 20
 
 
 @dataclass(frozen=True)
@@ -100,17 +101,20 @@ class Measurer:
         self.is_byte = np.array([self.pieces.is_byte(i) for i in range(n)])
         self.number: dict[bytes, int] = {}
         self.tokens: list[bytes] = []
+        self.held = 0
 
     def learn(self, words: set[bytes]) -> None:
         """Tokenise the words that are new."""
-        if len(self.number) > CACHE:
+        if len(self.number) > CACHE or self.held > CACHE_BYTES:
             self.number.clear()
             self.tokens.clear()
+            self.held = 0
         new = [w for w in words if w not in self.number]
         if new:
             for word, ids in zip(new, self.pieces.encode([w.decode() for w in new], num_threads=1)):
                 self.number[word] = len(self.tokens)
                 self.tokens.append(np.array(ids, "<u4").tobytes())
+                self.held += len(word) + len(self.tokens[-1])
 
     def measure(self, text: str, lang: str | None = None) -> tuple:
         data = text.encode()
@@ -216,5 +220,23 @@ def op7_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measure(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op7_fertility": op7_fertility}
-ORACLES: dict[str, str] = {}
+def fertility_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op7_fertility that SQL can express."""
+    return op7_fertility(spark, sf_dir).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+
+
+BASE = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+five AS (SELECT r, i, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d WHERE len(w) > 4)),
+twice AS (SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS n FROM five) WHERE n > 1),
+covered AS (SELECT r, count(DISTINCT i + k) AS n FROM twice, (SELECT unnest(range(5)) AS k) GROUP BY r),
+lines AS (SELECT r, unnest(string_split(text, chr(10))) AS l FROM d),
+dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+  len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, coalesce(dup.n, 0)::BIGINT AS n_dup_lines, coalesce(covered.n, 0)::BIGINT AS n_repeat_words,
+  len(w) < 10 OR 100 * coalesce(covered.n, 0) > 20 * len(w) AS base_failed
+FROM d LEFT JOIN dup USING (r) LEFT JOIN covered USING (r)
+"""
+
+QUERIES = {"op7_fertility": op7_fertility, "fertility_base": fertility_base}
+ORACLES = {"fertility_base": BASE}

@@ -14,8 +14,8 @@ from functools import lru_cache
 TOKENIZER = "byte_bpe_50k.json"
 RANKS = "byte_bpe_50k.tiktoken"
 SPECIAL = "<|endoftext|>"
-#: Chunks kept per worker; a full cache starts anew.
-CACHE = 150_000
+#: Chunks kept per worker, and characters of the longest that is kept; a full cache starts anew.
+CACHE, LONGEST = 150_000, 64
 
 
 class _Chunks(dict):
@@ -26,10 +26,11 @@ class _Chunks(dict):
         self.encode = encode
 
     def __missing__(self, chunk: str) -> bytes:
-        if len(self) >= CACHE:
-            self.clear()
-        ids = self.encode(" " + chunk)
-        self[chunk] = found = b"".join([i.to_bytes(4, "little") for i in ids])
+        found = b"".join([i.to_bytes(4, "little") for i in self.encode(" " + chunk)])
+        if len(chunk) <= LONGEST:
+            if len(self) >= CACHE:
+                self.clear()
+            self[chunk] = found
         return found
 
 
