@@ -8,7 +8,8 @@ as often as the quota allows, and takes the remaining blocks by a systematic dra
 start. Which part of a document is taken follows in closed form from its place in the stream: no
 block is ever a row.
 
-No step holds a source in one task: shards are bounded by tokens and by rows. The quotients that
+No step holds a source in one task: shards are bounded by tokens and by rows, and share out their source's
+blocks in spans of SPAN shards; only sources themselves, one row each, meet in one task. The quotients that
 are compared are those that can decide: with n parties, T the sum of targets and M blocks, party i
 gets between t*M/T*(1 -+ n/2M) -+ 1/2 blocks, so about three quotients a party are ranked.
 
@@ -37,10 +38,11 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 LIMIT = 2
 BLOCK_TOKENS = 16
-#: A shard's bounds: its rows are sorted in one task, and all shards of a source meet to share its blocks, so
-#: shards are as large as a task takes well. 25 trillion words in documents of 500 are some 2.6 million shards.
-SHARD_TOKENS = 16_000_000
+#: A shard's bounds: its rows are sorted in one task. Shards that share out a number of blocks among each
+#: other: a source's blocks go to spans of shards first, so that no task ranks all shards of a source.
+SHARD_TOKENS = 1_000_000
 SHARD_ROWS = 50_000
+SPAN = 1024
 SEED = "mix-1"
 
 
@@ -98,7 +100,7 @@ def targets(sources: DataFrame) -> DataFrame:
     return level.withColumn("target", kept.otherwise(F.col("_level")["_left"] * F.col("_w") / F.col("_level")["_weights"])).select("source", "source_size", "source_rows", "target", "_at")
 
 
-def mix(docs: DataFrame, key: str = "doc_id", block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: str = SEED) -> DataFrame:
+def mix(docs: DataFrame, key: str = "doc_id", block_tokens: int = BLOCK_TOKENS, shard_tokens: int = SHARD_TOKENS, seed: str = SEED, span: int = SPAN) -> DataFrame:
     """Per row of docs: key, size, source_size, target, taken, and what says which words are
     taken: place (of its first word in the shard's stream), whole (passes over all of it), part
     and blocks (that many of the shard's blocks once more) and start (of the draw)."""
@@ -123,7 +125,12 @@ def mix(docs: DataFrame, key: str = "doc_id", block_tokens: int = BLOCK_TOKENS,
         "shard", F.pmod(F.conv(F.substring("draw", 1, 12), 16, 10).cast("long"), n_shards)
     )
     shards = dealt.groupBy("source_no", "shard").agg(F.sum("size").alias("shard_size"), F.first("quota").alias("quota"))
-    shards = highest_quotients(shards, ["source_no"], "shard_size", "quota", [F.col("shard").asc()], "shard_quota", LIMIT * F.ceil(F.col("shard_size") / block_tokens)).select(
+    shards = shards.withColumn("span", F.floor(F.col("shard") / span)).withColumn("_cap", LIMIT * F.ceil(F.col("shard_size") / block_tokens))
+    spans = shards.groupBy("source_no", "span").agg(F.sum("shard_size").alias("span_size"), F.sum("_cap").alias("_span_cap"), F.first("quota").alias("quota"))
+    spans = highest_quotients(spans, ["source_no"], "span_size", "quota", [F.col("span").asc()], "span_quota", F.col("_span_cap"))
+    spans = spans.select(F.col("source_no").alias("_no"), F.col("span").alias("_span"), "span_quota")
+    shards = shards.join(spans, (shards["source_no"] == spans["_no"]) & (shards["span"] == spans["_span"])).drop("_no", "_span")
+    shards = highest_quotients(shards, ["source_no", "span"], "shard_size", "span_quota", [F.col("shard").asc()], "shard_quota", F.col("_cap")).select(
         F.col("source_no").alias("_no"), F.col("shard").alias("_shard"), "shard_size", "shard_quota"
     )
     placed = dealt.withColumn(
@@ -237,8 +244,12 @@ m AS (SELECT source, source_size, source_rows, no, target, g, round(sum(target)
 x AS (SELECT d.*, q.source_size, q.target, q.no, q.given AS quota,
   (('0x' || substr(draw, 1, 12))::BIGINT) % (ceil(q.source_size / {SHARD_TOKENS}.0) + ceil(q.source_rows / {SHARD_ROWS}.0))::BIGINT AS shard
   FROM d JOIN q ON d.source IS NOT DISTINCT FROM q.source),
-h AS (SELECT no, shard, sum(size)::BIGINT AS shard_size, any_value(quota)::BIGINT AS quota FROM x GROUP BY no, shard),
-{_sql_quotients("r", "h", "no", "shard_size", "quota", "shard", f"2 * ceil(shard_size / {BLOCK_TOKENS}.0)")},
+h AS (SELECT *, shard // {SPAN} AS span, (2 * ceil(shard_size / {BLOCK_TOKENS}.0))::BIGINT AS cap FROM (
+  SELECT no, shard, sum(size)::BIGINT AS shard_size, any_value(quota)::BIGINT AS quota FROM x GROUP BY no, shard)),
+i AS (SELECT no, span, sum(shard_size)::BIGINT AS span_size, sum(cap)::BIGINT AS span_cap, any_value(quota) AS quota FROM h GROUP BY no, span),
+{_sql_quotients("j", "i", "no", "span_size", "quota", "span", "span_cap")},
+v AS (SELECT h.no, h.span, shard, shard_size, cap, j.given::BIGINT AS quota FROM h JOIN j ON j.no = h.no AND j.span = h.span),
+{_sql_quotients("r", "v", "no, span", "shard_size", "quota", "shard", "cap")},
 p AS (SELECT x.*, r.shard_size, ceil(r.shard_size / {BLOCK_TOKENS}.0)::BIGINT AS blocks,
   r.given::BIGINT AS shard_quota,
   coalesce(sum(x.size) OVER (PARTITION BY x.no, x.shard ORDER BY x.draw, x.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS place

@@ -82,3 +82,14 @@ def test_odd(odd, none):
     assert len(rows) == odd.count() and all(r.taken <= 2 * r.size for r in rows)
     assert A.mix(none).count() == 0
     assert A.apply(odd).columns == odd.columns and A.apply(none).count() == 0
+
+
+def test_spans_of_shards_lose_no_block(spark):
+    """Where a source's target is its limit, every shard is full, whatever the spans; and no block goes missing."""
+    rows = [(i, "big" if i % 3 else "small", " ".join(["w"] * (1 + i % 40))) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    for span in (1, 3, 1024):
+        found = A.mix(docs, block_tokens=4, shard_tokens=200, span=span).groupBy("source_size").agg({"target": "max", "taken": "sum"}).collect()
+        assert len(found) == 2
+        for r in found:
+            assert abs(r["sum(taken)"] - r["max(target)"]) <= 4 * (2 + r["source_size"] / 200), (span, r)
