@@ -63,14 +63,27 @@ def adaptive(grey: np.ndarray, size: int, c: float = 2.0) -> np.ndarray:
     return np.where(grey > mean - c, 255, 0).astype(np.uint8)
 
 
+#: Rows that non-local means work on at once.
+STRIP = 256
+
+
 def denoise(grey: np.ndarray, h: float = 3.0, template: int = 7, search: int = 21) -> np.ndarray:
     """Non-local means: every shift within the search window is weighed by the mean squared difference of
     the templates around both pixels; box sums make the template's size free."""
     t, s = template // 2, search // 2
-    height, width = grey.shape
-    wide = np.pad(grey.astype(np.float64), t + s, mode="reflect" if min(grey.shape) > t + s else "edge")
+    edge = t + s
+    wide = np.pad(grey, edge, mode="reflect" if min(grey.shape) > edge else "edge")
+    # Strips, with what their templates and searches reach, so that a page of any size takes little memory.
+    strips = [_denoised(wide[y : y + STRIP + 2 * edge], h, template, search) for y in range(0, grey.shape[0], STRIP)]
+    return np.concatenate(strips) if strips else grey
+
+
+def _denoised(wide: np.ndarray, h: float, template: int, search: int) -> np.ndarray:
+    t, s = template // 2, search // 2
+    height, width = (n - 2 * (t + s) for n in wide.shape)
+    wide = wide.astype(np.float64)
     centre = wide[s : s + height + 2 * t, s : s + width + 2 * t]
-    total, weights = np.zeros(grey.shape), np.zeros(grey.shape)
+    total, weights = np.zeros((height, width)), np.zeros((height, width))
     for dy in range(search):
         for dx in range(search):
             moved = wide[dy : dy + height + 2 * t, dx : dx + width + 2 * t]

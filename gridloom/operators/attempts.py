@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gridloom.functions.text import WHITE_SPACE
 from gridloom.options import DEFAULTS, Options
 
 VARIANTS = ("original", "otsu", "adaptive", "enhanced", "denoised", "inverted", "sharpened", "dilated")
@@ -13,8 +14,8 @@ CONFIGS = tuple(f"--oem 3 --psm {mode}" for mode in (6, 7, 8, 4, 11, 13))
 
 
 def is_word(word: Column) -> Column:
-    """A word that isn't white space alone."""
-    return word.isNotNull() & ~word.rlike(r"^\s*$")
+    """A word that isn't white space alone, Unicode's included."""
+    return word.isNotNull() & ~word.rlike(rf"\A(?:{WHITE_SPACE})?\z")
 
 
 def joined(words: Column) -> Column:

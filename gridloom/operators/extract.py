@@ -2,7 +2,8 @@
 
 A file's raster is read once to find its table and cell candidates; only boxes are shuffled. The cells
 that overlap suppression keeps come back to the rasters for recognition, dealt out by file; repair of
-texts, grids and responses are DataFrame operations again.
+texts, grids and responses are DataFrame operations again. What is found, and what is read, is kept as a
+table, as several later steps need it and both are costly. Results leave a worker page by page.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from gridloom.operators import assemble, boxes, raster
 from gridloom.options import DEFAULTS, Options
 from gridloom.schemas import BOX, CELL_FIELDS
 from gridloom.sources.files import array_of
+from gridloom.storage import kept
 
 DETECTED = f"path string, width int, height int, table {BOX}, candidates array<struct<{CELL_FIELDS.replace(' int', ':int')}>>, error string"
 _INTS = {"width": "Int32", "height": "Int32"}
@@ -28,7 +30,6 @@ def detect(rasters: DataFrame, options: Options = DEFAULTS) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
             for row in frame.itertuples(index=False):
                 table, found, error = None, None, row.error
                 if pd.isna(error):
@@ -39,8 +40,8 @@ def detect(rasters: DataFrame, options: Options = DEFAULTS) -> DataFrame:
                         table, found = dict(zip(("x1", "y1", "x2", "y2"), box)), raster.candidates(page, box, options)
                     except Exception as e:
                         error = str(e)
-                out.append((row.path, row.width, row.height, table, found, error))
-            yield pd.DataFrame(out, columns=["path", "width", "height", "table", "candidates", "error"]).astype(_INTS)
+                one = [(row.path, row.width, row.height, table, found, error)]
+                yield pd.DataFrame(one, columns=["path", "width", "height", "table", "candidates", "error"]).astype(_INTS)
 
     return rasters.mapInPandas(run, DETECTED)
 
@@ -57,13 +58,12 @@ def recognise(rasters: DataFrame, cells: DataFrame, recognizer: raster.Recognize
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
             for row in frame.itertuples(index=False):
-                image = array_of(row)
+                image, out = array_of(row), []
                 for c in row.cells:
                     text = raster.read_cell(recognizer, image, c, options)
                     out.append((row.path, c["id"], c["x1"], c["y1"], c["x2"], c["y2"], c["x2"] - c["x1"], c["y2"] - c["y1"], text))
-            yield pd.DataFrame(out, columns=["path", "id", "x1", "y1", "x2", "y2", "width", "height", "text"])
+                yield pd.DataFrame(out, columns=["path", "id", "x1", "y1", "x2", "y2", "width", "height", "text"])
 
     schema = "path string, id int, x1 int, y1 int, x2 int, y2 int, width int, height int, text string"
     found = rasters.where(F.col("error").isNull()).join(own, "path").mapInPandas(run, schema)
@@ -71,9 +71,10 @@ def recognise(rasters: DataFrame, cells: DataFrame, recognizer: raster.Recognize
 
 
 def extract_tables(rasters: DataFrame, recognizer: raster.Recognizer, options: Options = DEFAULTS) -> DataFrame:
-    """One response per raster row of sources.files.read; see assemble.respond."""
-    detected = detect(rasters, options)
-    cells = recognise(rasters, kept_cells(detected, options), recognizer, options)
+    """One response per raster row of sources.files.read; see assemble.respond. Every page is searched once,
+    and every cell read once."""
+    detected = kept(detect(rasters, options), "detected")
+    cells = kept(recognise(rasters, kept_cells(detected, options), recognizer, options), "cells")
     files = detected.select("path", "width", "height", "table.*", "error")
     responses = assemble.respond(files, cells, options)
     if options.mode == "FAILFAST":
@@ -86,12 +87,11 @@ def visualise(rasters: DataFrame, responses: DataFrame) -> DataFrame:
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
             for row in frame.itertuples(index=False):
                 b = row.bounds
                 cells = [c["bounds"] for c in row.cells]
-                out.append((row.path, row.output_file, raster.painted(array_of(row), (b["x1"], b["y1"], b["x2"], b["y2"]), cells)))
-            yield pd.DataFrame(out, columns=["path", "output_file", "png"])
+                png = raster.painted(array_of(row), (b["x1"], b["y1"], b["x2"], b["y2"]), cells)
+                yield pd.DataFrame([(row.path, row.output_file, png)], columns=["path", "output_file", "png"])
 
     shown = responses.where(F.col("table").isNotNull()).select("path", "table.bounds", "table.cells", "visualization.output_file")
     return rasters.where(F.col("error").isNull()).join(shown, "path").mapInPandas(run, "path string, output_file string, png binary")
@@ -99,17 +99,15 @@ def visualise(rasters: DataFrame, responses: DataFrame) -> DataFrame:
 
 def debug_steps(rasters: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """path, step and png of the intermediate images of every page with a table."""
-    detected = detect(rasters, options)
+    detected = kept(detect(rasters, options), "detected")
     own = kept_cells(detected, options).groupBy("path").agg(F.array_sort(F.collect_list(F.struct("id", "x1", "y1", "x2", "y2"))).alias("cells"))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            out = []
             for row in frame.itertuples(index=False):
                 page, t = raster.binarised(array_of(row), options), row.table
                 steps = raster.debug_images(page, (t["x1"], t["y1"], t["x2"], t["y2"]), list(row.cells), options)
-                out += [(row.path, step, data) for step, data in steps.items()]
-            yield pd.DataFrame(out, columns=["path", "step", "png"])
+                yield pd.DataFrame([(row.path, step, data) for step, data in steps.items()], columns=["path", "step", "png"])
 
     pages = rasters.where(F.col("error").isNull()).join(detected.where("table is not null").select("path", "table"), "path").join(own, "path")
     return pages.mapInPandas(run, "path string, step string, png binary")

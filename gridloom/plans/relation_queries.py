@@ -193,7 +193,7 @@ def error_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "word_filter",
-    f"WITH {D.WORDS_SQL} SELECT conv_id, turn, coalesce(string_agg(w, ' ' ORDER BY pos) FILTER (NOT regexp_matches(w, '^\\s*$')), '') AS text FROM words GROUP BY conv_id, turn",
+    f"WITH {D.WORDS_SQL} SELECT conv_id, turn, coalesce(string_agg(w, ' ' ORDER BY pos) FILTER (NOT regexp_matches(w, '^(?:{T.WHITE_SPACE})?$')), '') AS text FROM words GROUP BY conv_id, turn",
 )
 def word_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = D.words(spark, sf_dir).groupBy("conv_id", "turn").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "w"))), lambda x: x["w"]).alias("ws"))
@@ -202,7 +202,7 @@ def word_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(
     "avg_conf",
-    f"WITH {D.WORDS_SQL} SELECT conv_id, turn, round(coalesce(avg(conf) FILTER (NOT regexp_matches(w, '^\\s*$')), 0), 9) AS conf FROM words GROUP BY conv_id, turn",
+    f"WITH {D.WORDS_SQL} SELECT conv_id, turn, round(coalesce(avg(conf) FILTER (NOT regexp_matches(w, '^(?:{T.WHITE_SPACE})?$')), 0), 9) AS conf FROM words GROUP BY conv_id, turn",
 )
 def avg_conf(spark: SparkSession, sf_dir: str) -> DataFrame:
     by_turn = D.words(spark, sf_dir).groupBy("conv_id", "turn")

@@ -14,6 +14,7 @@ from gridloom.functions import text as T
 from gridloom.options import DEFAULTS, Options
 
 RASTER = "path string, width int, height int, channels int, data binary, error string"
+# The error messages here and below.
 UNREADABLE = "Error preprocessing file: Failed to load image."
 
 
@@ -83,14 +84,14 @@ def pdfs(spark: SparkSession, paths: list[str], rasterizer: PdfRasterizer, optio
 
     def render(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            rows = []
             for path, content in zip(frame["path"], frame["content"]):
                 try:
                     page = rasterizer.page(content, 1, options.dpi)
-                    rows.append((path, page.shape[1], page.shape[0], 3, page.tobytes(), None))
+                    one = (path, page.shape[1], page.shape[0], 3, page.tobytes(), None)
                 except Exception as e:
-                    rows.append((path, None, None, None, None, f"Error converting PDF to image: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "width", "height", "channels", "data", "error"]).astype({"width": "Int32", "height": "Int32", "channels": "Int32"})
+                    one = (path, None, None, None, None, f"Error converting PDF to image: {e}")
+                # A page is tens of megabytes: each leaves on its own.
+                yield pd.DataFrame([one], columns=["path", "width", "height", "channels", "data", "error"]).astype({"width": "Int32", "height": "Int32", "channels": "Int32"})
 
     found = spark.read.format("binaryFile").load(paths).where(T.file_type(F.col("path")) == "pdf")
     return found.select("path", "content").mapInPandas(render, RASTER)

@@ -38,14 +38,16 @@ def sampled(logs: DataFrame, options: Options = DEFAULTS, idle_ms: int = 3_600_0
             state.remove()
             return
         n = state.get[0] if state.exists else 0
-        rows = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
-        low = rows["level"] < WARNING
-        place = n + low.cumsum()
-        rows["n"] = place.where(low).astype("Int64")
-        rows["immediate"] = ~low | (place == 1) | (place % every == 0)
-        state.update((int(n + low.sum()),))
+        for rows in frames:  # one after the other: a micro-batch of a pattern may be large
+            rows = rows.sort_values(["ts", "event_id"], kind="stable")
+            low = rows["level"] < WARNING
+            place = n + low.cumsum()
+            rows["n"] = place.where(low).astype("Int64")
+            rows["immediate"] = ~low | (place == 1) | (place % every == 0)
+            n += int(low.sum())
+            yield rows[["event_id", "ts", "level", "msg", "pattern", "n", "immediate"]]
+        state.update((n,))
         state.setTimeoutDuration(idle_ms)
-        yield rows[["event_id", "ts", "level", "msg", "pattern", "n", "immediate"]]
 
     keyed = logs.select("event_id", "ts", F.col("level").cast("int").alias("level"), "msg", message_pattern(F.col("msg")).alias("pattern"))
     return keyed.groupBy("pattern").applyInPandasWithState(step, OUT, "n long", "append", GroupStateTimeout.ProcessingTimeTimeout)
@@ -54,6 +56,7 @@ def sampled(logs: DataFrame, options: Options = DEFAULTS, idle_ms: int = 3_600_0
 FLUSHED = "level int, batch_no long, reason string, msg string, records long"
 
 
+# Fixed value below: the message of a repeated group.
 def combine(messages: list[str], groups: list[str]) -> list[tuple[str, int]]:
     """What a flush emits for a batch, in order of the groups' first records."""
     if len(messages) <= 5:
@@ -70,35 +73,43 @@ def combine(messages: list[str], groups: list[str]) -> list[tuple[str, int]]:
     return out
 
 
-def flushed(batched: DataFrame, options: Options = DEFAULTS, timeout_ms: int = 1000) -> DataFrame:
-    """A stream of batched records (event_id, ts, level, msg): what is emitted when a level's batch is full
-    or has waited for the timeout; debug runs set a batch size of 1."""
+def flushed(batched: DataFrame, options: Options = DEFAULTS, timeout_ms: int = 1000, max_age_ms: int = 10_000, end: bool = False) -> DataFrame:
+    """A stream of batched records (event_id, ts, level, msg): what is emitted when a level's batch is full,
+    has waited for the timeout, or has records older than the age limit, however often others came in between.
+
+    end: for runs that drain an input and stop; what is left of a level after a micro-batch is emitted at once
+    (reason `end`), and nothing waits. Without it the query waits for timeouts, so it doesn't stop by itself."""
     size = options.log_batch
+    waits = GroupStateTimeout.NoTimeout if end else GroupStateTimeout.ProcessingTimeTimeout
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        level = int(key[0])
-        batch_no, messages, groups = (state.get[0], list(state.get[1]), list(state.get[2])) if state.exists else (0, [], [])
-        out: list[tuple] = []
-
-        def flush(reason: str, n: int) -> None:
-            nonlocal batch_no, messages, groups
-            out.extend((level, batch_no, reason, m, k) for m, k in combine(messages[:n], groups[:n]))
-            messages, groups, batch_no = messages[n:], groups[n:], batch_no + 1
-
-        if state.hasTimedOut:
-            if messages:
-                flush("timeout", len(messages))
-        else:
-            rows = pd.concat(list(frames)).sort_values(["ts", "event_id"], kind="stable")
+        level, now = int(key[0]), state.getCurrentProcessingTimeMs()
+        batch_no, created, messages, groups = (state.get[0], state.get[1], list(state.get[2]), list(state.get[3])) if state.exists else (0, now, [], [])
+
+        def flush(reason: str, n: int) -> pd.DataFrame:
+            nonlocal batch_no, created, messages, groups
+            out = [(level, batch_no, reason, m, k) for m, k in combine(messages[:n], groups[:n])]
+            messages, groups, batch_no, created = messages[n:], groups[n:], batch_no + 1, now
+            return pd.DataFrame(out, columns=["level", "batch_no", "reason", "msg", "records"])
+
+        for rows in () if state.hasTimedOut else frames:
+            rows = rows.sort_values(["ts", "event_id"], kind="stable")
+            if not messages:
+                created = now
             messages += rows["msg"].tolist()
             groups += rows["grp"].tolist()
             while len(messages) >= size:
-                flush("full", size)
-        state.update((batch_no, messages, groups))
-        if messages:
-            state.setTimeoutDuration(timeout_ms)
-        if out:
-            yield pd.DataFrame(out, columns=["level", "batch_no", "reason", "msg", "records"])
+                yield flush("full", size)
+        if messages and state.hasTimedOut:
+            yield flush("age" if now - created > max_age_ms else "timeout", len(messages))
+        elif messages and now - created > max_age_ms:
+            yield flush("age", len(messages))
+        elif messages and end:
+            yield flush("end", len(messages))
+        state.update((batch_no, created, messages, groups))
+        if messages and not end:
+            state.setTimeoutDuration(max(1, min(timeout_ms, max_age_ms - (now - created))))
 
     keyed = batched.select("event_id", "ts", F.col("level").cast("int").alias("level"), "msg", batch_pattern(F.col("msg")).alias("grp"))
-    return keyed.groupBy("level").applyInPandasWithState(step, FLUSHED, "batch_no long, messages array<string>, groups array<string>", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    held = "batch_no long, created long, messages array<string>, groups array<string>"
+    return keyed.groupBy("level").applyInPandasWithState(step, FLUSHED, held, "append", waits)

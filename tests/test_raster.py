@@ -195,6 +195,40 @@ def test_failfast(spark, folder):
         extract.extract_tables(files.read(spark, [str(folder / "blank.png")], options=strict), Scripted({}), strict).collect()
 
 
+class Counting(Scripted):
+    """Writes a line per image read."""
+
+    def __init__(self, log):
+        super().__init__({"6": 95, "7": 95})
+        self.log = log
+
+    def recognize(self, image, config):
+        with open(self.log, "a") as out:
+            out.write(f"{image.shape}\n")
+        return super().recognize(image, config)
+
+
+def test_pages_are_searched_and_cells_read_once(spark, folder, tmp_path):
+    log = str(tmp_path / "reads")
+    done = extract.extract_tables(files.read(spark, [str(folder / "t.png")]), Counting(log), FAST)
+    plan = done._jdf.queryExecution().toString()
+    assert "MapInPandas" not in plan  # what is costly lies in stored tables
+    cells = done.first().table.cells
+    done.collect()
+    assert len(open(log).readlines()) == len(cells) > 0
+
+
+def test_denoise_in_strips():
+    rng = np.random.default_rng(2)
+    page = rng.integers(0, 256, (90, 40)).astype(np.uint8)
+    whole = K.denoise(page)
+    before, K.STRIP = K.STRIP, 17
+    try:
+        assert (K.denoise(page) == whole).all()
+    finally:
+        K.STRIP = before
+
+
 def test_table_functions(spark):
     S.register(spark)
     image = np.zeros((20, 20), np.uint8)

@@ -1,4 +1,5 @@
 import datetime as dt
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -58,6 +59,15 @@ def records(n):
 SCHEMA = "event_id long, ts timestamp, level int, msg string"
 
 
+def drained(query, done):
+    """Stop the query once it has done its part: queries that wait for timeouts go on for ever."""
+    until = time.time() + 90
+    while query.isActive and not done() and time.time() < until:
+        time.sleep(0.2)
+    assert query.exception() is None
+    query.stop()
+
+
 def test_sampling_counts_over_buckets(spark):
     found = {r.event_id: r for r in L.sampled(spark.createDataFrame(records(300), SCHEMA)).collect()}
     seen = {}
@@ -75,9 +85,8 @@ def test_stream_samples_like_batch(spark, tmp_path):
     rows.where("event_id < 120").coalesce(1).write.parquet(str(tmp_path / "in" / "a"))
     rows.where("event_id >= 120").coalesce(1).write.parquet(str(tmp_path / "in" / "b"))
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).option("latestFirst", False).parquet(str(tmp_path / "in"))
-    query = streams.sampled(stream).writeStream.format("memory").queryName("sampled").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
-    assert query.exception() is None
+    query = streams.sampled(stream).writeStream.format("memory").queryName("sampled").option("checkpointLocation", str(tmp_path / "state")).start()
+    drained(query, lambda: spark.table("sampled").count() == 200)
     found = {(r.event_id, r.immediate) for r in spark.table("sampled").collect()}
     assert found == {(r.event_id, r.immediate) for r in L.sampled(rows).collect()}
 
@@ -86,12 +95,38 @@ def test_stream_flushes_full_batches(spark, tmp_path):
     rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), 20, f"Cell[{i}] took") for i in range(250)]
     spark.createDataFrame(rows, SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in"))
-    query = streams.flushed(stream).writeStream.format("memory").queryName("flushed").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    query = streams.flushed(stream).writeStream.format("memory").queryName("flushed").option("checkpointLocation", str(tmp_path / "state")).start()
+    drained(query, lambda: spark.table("flushed").agg(F.sum("records")).first()[0] == 250)
+    assert spark.table("flushed").where("reason = 'timeout'").agg(F.sum("records")).first()[0] == 50
     full = [tuple(r) for r in spark.table("flushed").where("reason = 'full'").select("batch_no", "msg", "records").collect()]
     assert full == [(k, "Cell (repeated 100 times with different values)", 100) for k in (0, 1)]
 
 
+def test_stream_leaves_nothing_behind(spark, tmp_path):
+    """A stream that ends with its input emits all of it; records over the age limit go with the next ones."""
+    rows = [(i, dt.datetime(2024, 1, 1) + dt.timedelta(seconds=i), 10 + 10 * (i % 2), f"Cell[{i}] took") for i in range(250)]
+    for part in range(2):
+        spark.createDataFrame(rows[part * 130 : part * 130 + 130], SCHEMA).coalesce(1).write.parquet(str(tmp_path / "in" / str(part)))
+
+    def run(name, **how):
+        stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
+        out = streams.flushed(stream, **how).writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name))
+        query = (out.trigger(availableNow=True) if "end" in how else out).start()
+        drained(query, lambda: "end" not in how and spark.table(name).agg(F.sum("records")).first()[0] == 250)
+        return spark.table(name).collect()
+
+    ended = run("ended", end=True)  # stops by itself
+    assert sum(r.records for r in ended) == 250 and {r.reason for r in ended} <= {"full", "end"}
+    aged = run("aged", max_age_ms=-1)
+    assert sum(r.records for r in aged) == 250 and "age" in {r.reason for r in aged}
+
+
+def test_words_of_unicode_white_space(spark):
+    words = ["a", "", " ", "\u00a0", "\u3000\u2003", "\t\n", "\x1c", " b ", None, "\u200b"]
+    found = spark.createDataFrame([(w,) for w in words], "w string").select("w", A.is_word(F.col("w")).alias("k")).collect()
+    assert [r.w for r in found if r.k] == [w for w in words if w is not None and w.strip()]
+
+
 def test_combined(spark):
     assert streams.combine(["a (1)"] * 5, ["a"] * 5) == [("a (1)", 1)] * 5
     assert streams.combine(["a (1)"] * 4 + ["b", "c"], ["a"] * 4 + ["b", "c"]) == [("a (repeated 4 times with different values)", 4), ("b", 1), ("c", 1)]
