@@ -45,8 +45,9 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.withColumn("conf", F.expr("CASE WHEN length(w)%5=0 THEN -1 ELSE (length(w)*13+turn*7+pos)%101 END"))
 
 
-GRAY_SQL = """gray AS (SELECT vec_id AS img, CAST(p % 8 AS INT) AS x, CAST(floor(p/8.0) AS INT) AS y,
-  CASE WHEN vec_id % 7 = 0 THEN 255 ELSE CAST(least(255, greatest(0, floor((CAST(e AS DOUBLE)+0.5)*255))) AS INT) END AS v
+_GREY = "CASE WHEN vec_id % 7 = 0 THEN 255 ELSE CAST(least(255, greatest(0, floor((CAST(e AS DOUBLE)+0.5)*255))) AS INT) END"
+GRAY_SQL = f"""gray AS (SELECT vec_id AS img, CAST(p % 8 AS INT) AS x, CAST(floor(p/8.0) AS INT) AS y,
+  {_GREY} AS v
   FROM (SELECT vec_id, unnest(range(64)) AS p, unnest(embedding) AS e FROM embeddings) a)"""
 
 
@@ -55,10 +56,15 @@ def gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     pixels = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode("embedding").alias("p", "e"))
     return pixels.select(
         F.col("vec_id").alias("img"), (F.col("p") % 8).alias("x"), F.floor(F.col("p") / 8.0).cast("int").alias("y"),
-        F.expr("CASE WHEN vec_id % 7 = 0 THEN 255 ELSE CAST(least(255, greatest(0, floor((CAST(e AS DOUBLE)+0.5)*255))) AS INT) END").alias("v"),
+        F.expr(_GREY).alias("v"),
     )
 
 
+def images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """img, v: the images of gray, an array of pixels row by row each."""
+    return read(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("img"), F.expr(f"transform(embedding, e -> {_GREY})").alias("v"))
+
+
 POINTS_SQL = """points AS (SELECT a.img, CAST(a.y * 4 + a.x / 2 AS INT) AS i, a.v AS x, b.v AS y
   FROM (SELECT * FROM gray WHERE x % 2 = 0) a JOIN gray b ON b.img = a.img AND b.y = a.y AND b.x = a.x + 1)"""
 
