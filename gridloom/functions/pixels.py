@@ -47,7 +47,7 @@ def blank(pixels: DataFrame, options: Options = DEFAULTS) -> DataFrame:
 
 def otsu_level(pixels: DataFrame) -> DataFrame:
     """img, level: the threshold of the largest between-class variance, the lowest of equals; 0 for an
-    image of one value. A histogram has 256 bins, so its windows are small."""
+    image of one value. A histogram has 256 bins, so its windows are small; pixels leave a scan as counts."""
     bins = pixels.groupBy("img", "v").agg(F.count(F.lit(1)).alias("n"))
     upto = Window.partitionBy("img").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("img")
@@ -84,18 +84,22 @@ def dilate_two(pixels: DataFrame) -> DataFrame:
     return wide.select("img", "x", "y", F.max("v").over(column().rowsBetween(-1, 0)).alias("v"))
 
 
+def _opened(pixels: DataFrame, to: str, length: int, iterations: int, along: str) -> DataFrame:
+    window = row() if along == "row" else column()
+    reach = window.rowsBetween(-(length // 2) * iterations, (length - 1 - length // 2) * iterations)
+    return pixels.withColumn(to, F.min("v").over(reach)).withColumn(to, F.max(to).over(reach))
+
+
 def opened(pixels: DataFrame, length: int = DEFAULTS.line_length, iterations: int = DEFAULTS.line_iterations, along: str = "row") -> DataFrame:
     """Opening with a line: `iterations` erosions, then as many dilations; outside counts for neither."""
-    window = row() if along == "row" else column()
-    back, ahead = -(length // 2) * iterations, (length - 1 - length // 2) * iterations
-    eroded = pixels.withColumn("v", F.min("v").over(window.rowsBetween(back, ahead)))
-    return eroded.select("img", "x", "y", F.max("v").over(window.rowsBetween(back, ahead)).alias("v"))
+    return _opened(pixels.select("img", "x", "y", "v"), "v", length, iterations, along)
 
 
-def either(a: DataFrame, b: DataFrame) -> DataFrame:
-    """255 where one of two masks is set."""
-    both = a.join(b.select("img", "x", "y", V("v").alias("w")), ["img", "x", "y"])
-    return both.select("img", "x", "y", F.when(F.greatest("v", "w") > 0, 255).otherwise(0).alias("v"))
+def lines(pixels: DataFrame, length: int = DEFAULTS.line_length, iterations: int = DEFAULTS.line_iterations) -> DataFrame:
+    """255 where an opening along rows or one along columns leaves something. Both masks ride on the
+    pixels, so these are read once and nothing is joined."""
+    both = _opened(_opened(pixels, "_rows", length, iterations, "row"), "_columns", length, iterations, "column")
+    return both.select("img", "x", "y", F.when(F.greatest("_rows", "_columns") > 0, 255).otherwise(0).alias("v"))
 
 
 def crop(pixels: DataFrame, x1: int, y1: int, x2: int, y2: int) -> DataFrame:

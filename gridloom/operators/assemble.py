@@ -12,6 +12,9 @@ from gridloom.options import DEFAULTS, Options
 NO_TABLE = "No table detected in the image"
 NO_CELLS = "No cells were detected in the table"
 ONE_CELL = "Only one cell detected - this might be the entire table"
+# What the console report says of a file without a grid.
+EMPTY = "No cells were detected."
+PDF_HINTS = ("", "Ensure the following for PDFs:", "1. Poppler is installed", "2. The PDF is not corrupted", "3. The file is accessible")
 
 
 def cell_error(n: Column) -> Column:
@@ -53,14 +56,21 @@ def respond(files: DataFrame, cells: DataFrame, options: Options = DEFAULTS) ->
 
 
 def report(responses: DataFrame) -> DataFrame:
-    """path and the lines of a console report."""
+    """path, the lines of a console report, and failed: the file had no error, but gave no grid either.
+    Errors that speak of PDFs are followed by hints."""
     size, dims = F.col("metadata.image_size"), F.col("table.dimensions")
     head = F.array(
+        F.lit(""),
         F.lit("Extracted Table Data:"),
         F.concat(F.lit("File: "), F.col("metadata.file_name")),
         F.format_string("Image size: %dx%d", size["width"], size["height"]),
         F.format_string("Table dimensions: %dx%d", dims["rows"], dims["columns"]),
+        F.lit(""),
         F.lit("Table structure:"),
     )
     lines = F.concat(head, F.transform("table.grid", lambda row: F.to_json(row)))
-    return responses.select("path", F.when(F.col("table").isNull(), F.array(F.coalesce("error", F.lit("No cells were detected.")))).otherwise(lines).alias("lines"))
+    error, hints = F.col("error"), F.array(*map(F.lit, PDF_HINTS))
+    told = F.concat(F.array(F.concat(F.lit("Error: "), error)), F.when(F.lower(error).contains("pdf"), hints).otherwise(F.array().cast("array<string>")))
+    empty = F.coalesce(F.size("table.grid"), F.lit(0)) <= 0
+    shown = F.when(error.isNotNull(), told).when(empty, F.array(F.lit(EMPTY))).otherwise(lines)
+    return responses.select("path", shown.alias("lines"), (error.isNull() & empty).alias("failed"))

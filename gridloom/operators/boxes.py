@@ -60,10 +60,11 @@ def largest(boxes: DataFrame, key: str, size: Column, order: str = "ord") -> Dat
     return boxes.groupBy(key).agg(F.max_by(box, F.struct(size, -F.col(order))).alias("box")).select(key, "box.*")
 
 
-def candidates(lines: DataFrame, contours: DataFrame, key: str) -> DataFrame:
-    """Both methods' cells in one order: all of the line method before all of the contour method."""
-    both = lines.withColumn("method", F.lit(0)).unionByName(contours.withColumn("method", F.lit(1)))
-    return both.withColumn("rank", F.struct("method", "ord"))
+def candidates(boxes: DataFrame, line: Column, contour: Column) -> DataFrame:
+    """Both methods' cells in one order: all of the line method (0) before all of the contour method (1).
+    A box that both take is two rows; boxes are read once."""
+    methods = F.filter(F.array(F.when(line, 0), F.when(contour, 1)), lambda m: m.isNotNull())
+    return boxes.withColumn("method", F.explode(methods)).withColumn("rank", F.struct("method", "ord"))
 
 
 def _fold(options: Options) -> str:

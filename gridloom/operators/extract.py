@@ -8,13 +8,15 @@ table, as several later steps need it and both are costly. Results leave a worke
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import logging
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions import text as T
+from gridloom.functions.timing import log_level, timed
 from gridloom.operators import assemble, boxes, raster
 from gridloom.options import DEFAULTS, Options
 from gridloom.schemas import BOX, CELL_FIELDS
@@ -28,6 +30,12 @@ _INTS = {"width": "Int32", "height": "Int32"}
 def detect(rasters: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     """Per raster its table, the candidates in it, or an error."""
 
+    @timed("File processing", options.slow_seconds)
+    def search(row: object) -> tuple[dict, list[dict]]:
+        page = raster.preprocess(array_of(row), options)
+        box = raster.table_bounds(page, options)
+        return dict(zip(("x1", "y1", "x2", "y2"), box)), raster.candidates(page, box, options)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
@@ -35,9 +43,7 @@ def detect(rasters: DataFrame, options: Options = DEFAULTS) -> DataFrame:
                 if pd.isna(error):
                     error = None
                     try:
-                        page = raster.preprocess(array_of(row), options)
-                        box = raster.table_bounds(page, options)
-                        table, found = dict(zip(("x1", "y1", "x2", "y2"), box)), raster.candidates(page, box, options)
+                        table, found = search(row)
                     except Exception as e:
                         error = str(e)
                 one = [(row.path, row.width, row.height, table, found, error)]
@@ -52,18 +58,27 @@ def kept_cells(detected: DataFrame, options: Options = DEFAULTS) -> DataFrame:
     return boxes.suppress(every, "path", options)
 
 
-def recognise(rasters: DataFrame, cells: DataFrame, recognizer: raster.Recognizer, options: Options = DEFAULTS) -> DataFrame:
-    """cells with width, height and text. Cells whose recognition raises are left out; ids stay."""
+def recognise(rasters: DataFrame, cells: DataFrame, recognizer: raster.Recognizer, options: Options = DEFAULTS, reader: Callable[..., str] = raster.read_cell) -> DataFrame:
+    """cells with width, height and text. A cell whose reader raises is logged and left out, and the ids of
+    the others stay; `read_cell` itself gives an empty text where recognition fails."""
     own = cells.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("id", "x1", "y1", "x2", "y2"))).alias("cells"))
 
+    read = timed("Cell OCR extraction", options.slow_seconds)(reader)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for row in frame.itertuples(index=False):
                 image, out = array_of(row), []
                 for c in row.cells:
-                    text = raster.read_cell(recognizer, image, c, options)
+                    try:
+                        with log_level(raster.__name__, logging.DEBUG if options.verbose else logging.WARNING):
+                            text = read(recognizer, image, c, options)
+                    except Exception as e:
+                        logging.getLogger(__name__).error("Error processing cell %s: %s", c["id"], e)
+                        continue
                     out.append((row.path, c["id"], c["x1"], c["y1"], c["x2"], c["y2"], c["x2"] - c["x1"], c["y2"] - c["y1"], text))
-                yield pd.DataFrame(out, columns=["path", "id", "x1", "y1", "x2", "y2", "width", "height", "text"])
+                if out:
+                    yield pd.DataFrame(out, columns=["path", "id", "x1", "y1", "x2", "y2", "width", "height", "text"])
 
     schema = "path string, id int, x1 int, y1 int, x2 int, y2 int, width int, height int, text string"
     found = rasters.where(F.col("error").isNull()).join(own, "path").mapInPandas(run, schema)

@@ -95,8 +95,7 @@ def open_v(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("mask_or", f"{_opened('x', 'y', 'oh')}{_opened('y', 'x', 'ov')} SELECT img, x, y, CASE WHEN greatest(oh.v, ov.v) > 0 THEN 255 ELSE 0 END AS v FROM oh JOIN ov USING (img, x, y)")
 def mask_or(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pixels = D.gray(spark, sf_dir)
-    return P.either(P.opened(pixels, 3, 1, "row"), P.opened(pixels, 3, 1, "column"))
+    return P.lines(D.gray(spark, sf_dir), 3, 1)
 
 
 @register("crop", " SELECT img, x - 2 AS x, y - 1 AS y, v FROM gray WHERE x BETWEEN 2 AND 5 AND y BETWEEN 1 AND 6")

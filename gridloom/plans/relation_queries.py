@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.functions import text as T
@@ -119,25 +119,23 @@ _LINE_SQL = "(x2-x1)*(y2-y1) BETWEEN 100 AND w*h*0.5 AND x2-x1 >= 10 AND y2-y1 >
 _CONTOUR_SQL = "(x2-x1)*(y2-y1) BETWEEN w*h*0.0001 AND w*h*0.99"
 
 
-def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _is_line() -> Column:
     c = F.col
-    table = _with_table(D.boxes(spark, sf_dir))
-    return table.where(B.line_filter(B.area(), c("w") * c("h"), c("x2") - c("x1"), c("y2") - c("y1"))).select("pg", "ord", "x1", "y1", "x2", "y2")
+    return B.line_filter(B.area(), c("w") * c("h"), c("x2") - c("x1"), c("y2") - c("y1"))
 
 
-def _contours(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = F.col
-    return _with_table(D.boxes(spark, sf_dir)).where(B.contour_filter(B.area(), c("w") * c("h"))).select("pg", "ord", "x1", "y1", "x2", "y2")
+def _is_contour() -> Column:
+    return B.contour_filter(B.area(), F.col("w") * F.col("h"))
 
 
 @register("line_area_filter", f"WITH {D.BOXES_SQL}, {_TABLE_SQL} SELECT pg, ord, x1, y1, x2, y2 FROM boxes JOIN tables USING (pg) WHERE {_LINE_SQL}")
 def line_area_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _lines(spark, sf_dir)
+    return _with_table(D.boxes(spark, sf_dir)).where(_is_line()).select("pg", "ord", "x1", "y1", "x2", "y2")
 
 
 @register("contour_area_filter", f"WITH {D.BOXES_SQL}, {_TABLE_SQL} SELECT pg, ord, x1, y1, x2, y2 FROM boxes JOIN tables USING (pg) WHERE {_CONTOUR_SQL}")
 def contour_area_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _contours(spark, sf_dir)
+    return _with_table(D.boxes(spark, sf_dir)).where(_is_contour()).select("pg", "ord", "x1", "y1", "x2", "y2")
 
 
 @register(
@@ -148,7 +146,7 @@ def contour_area_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT pg, method, CAST(row_number() OVER (PARTITION BY pg ORDER BY method, ord) - 1 AS INT) AS id, x1, y1, x2, y2 FROM both_""",
 )
 def candidate_union(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = B.candidates(_lines(spark, sf_dir), _contours(spark, sf_dir), "pg")
+    both = B.candidates(_with_table(D.boxes(spark, sf_dir)), _is_line(), _is_contour())
     return B.numbered(both, "pg", [F.col("rank")]).select("pg", "method", "id", "x1", "y1", "x2", "y2")
 
 

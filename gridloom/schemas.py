@@ -4,11 +4,3 @@ from __future__ import annotations
 
 BOX = "struct<x1:int,y1:int,x2:int,y2:int>"
 CELL_FIELDS = "ord int, x1 int, y1 int, x2 int, y2 int, width int, height int"
-CELL = f"struct<id:int,bounds:{BOX},dimensions:struct<width:int,height:int>,text:string>"
-ENTRY = "struct<text:string,rowspan:int,colspan:int>"
-IMAGE = "struct<origin:string,height:int,width:int,nChannels:int,mode:int,data:binary>"
-RESPONSE = (
-    "metadata struct<file_name:string,file_type:string,image_size:struct<width:int,height:int>,processing_timestamp:string>, "
-    f"table struct<bounds:{BOX},dimensions:struct<rows:int,columns:int>,grid:array<array<{ENTRY}>>,cells:array<{CELL}>>, "
-    "visualization struct<output_file:string>"
-)

@@ -179,7 +179,46 @@ def test_whole_way(spark, folder):
     assert {r.output_file for r in shown} == {"detected_table_t.png", "detected_table_a.png"}
     assert all(bytes(r.png).startswith(b"\x89PNG") for r in shown)
     lines = {r.path.rsplit("/", 1)[-1]: r.lines for r in assemble.report(done).collect()}
-    assert lines["t.png"][1] == "File: t.png" and len(lines["blank.png"]) == 1
+    assert lines["t.png"][2] == "File: t.png" and len(lines["blank.png"]) == 1
+    assert lines["none.png"] == [f"Error: File not found: {folder}/none.png"]
+    assert lines["b.pdf"][0].startswith("Error: Error converting PDF") and lines["b.pdf"][1:] == list(assemble.PDF_HINTS)
+    assert not any(r.failed for r in assemble.report(done).collect())
+
+
+def odd_reader(recognizer, image, cell, options):
+    if cell["id"] % 2:
+        raise ValueError("unreadable")
+    return "x"
+
+
+def test_cells_whose_reader_raises_are_left_out(spark):
+    image = page(40, 40)
+    rasters = spark.createDataFrame([("p", 40, 40, 3, image.tobytes(), None), ("q", 40, 40, 3, image.tobytes(), None)], files.RASTER)
+    cells = spark.createDataFrame([("p", k, 0, 0, 10, 10) for k in range(4)] + [("q", 1, 0, 0, 10, 10)], "path string, id int, x1 int, y1 int, x2 int, y2 int")
+    read = extract.recognise(rasters, cells, Scripted({}), FAST, odd_reader)
+    assert sorted((r.path, r.id, r.text) for r in read.collect()) == [("p", 0, "x"), ("p", 2, "x")]
+
+
+def test_debug_runs(tmp_path, monkeypatch):
+    import logging
+
+    from gridloom import cli
+
+    monkeypatch.chdir(tmp_path)
+    assert cli.options_for(True).log_batch == 1 and cli.options_for(True).verbose and cli.options_for(False) == Options()
+    root = logging.getLogger()
+    before, level = root.handlers[:], root.level
+    root.handlers[:] = []
+    try:
+        cli.log_to("INFO", True)
+        logging.getLogger("x").info("told")
+        (found,) = (tmp_path / "logs").iterdir()
+        assert found.name.startswith("table_detector_") and "INFO" in found.read_text()
+    finally:
+        for h in root.handlers:
+            h.close()
+        root.handlers[:] = before
+        root.setLevel(level)
 
 
 def test_debug_steps(spark, folder):
