@@ -29,18 +29,20 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WORD, materialise, rekeyed, slices, table, trim
+from gridloom.llm.common import WORD, materialise, rekeyed, scratch, slices, table, trim
 from gridloom.llm.components import components
 
 SHINGLE, THRESHOLD, RECALL = 5, 0.8, 0.999
 #: Mean number of shingles that a set follows at each node, and choices in a path.
 BRANCH, DEPTH, MAX_DEPTH = 1.6, 2, 6
-#: Records of a bucket that are compared without further splitting, if they aren't alike.
+#: Records of a bucket that are compared without further splitting, if they aren't alike. This and DENSE
+#: choose between splitting and tiles; no pair of a bucket is left out either way.
 BUCKET = 2048
 #: Mean similarity from which a large bucket isn't split.
 DENSE = 0.4
-#: Bytes of a sketch, one minimum each; least equal ones of a pair that may be similar.
-SKETCH, SKETCH_EQUAL = 32, 17
+#: Bytes of a sketch, one minimum each; share of pairs at the threshold that sketches may miss, which the
+#: number of runs makes up for.
+SKETCH, SKETCH_MISS = 32, 2e-4
 #: Records on one side of a tile.
 TILE = 2048
 
@@ -73,13 +75,25 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
 
 
 def runs_for(recall: float, threshold: float, branch: float = BRANCH, depth: int = MAX_DEPTH) -> int:
-    """Runs after which a pair at the threshold has met with the target recall, at the depth to which
-    large buckets are split as well. Such a pair shares at least threshold * the larger set, so at each
-    node about branch * threshold of its choices."""
+    """Runs after which a pair at the threshold has met, and its sketches have agreed, with the target
+    recall, at the depth to which large buckets are split as well. Such a pair shares at least threshold *
+    the larger set, so at each node about branch * threshold of its choices."""
     met = 1.0
     for _ in range(depth):
         met = 1 - math.exp(-branch * threshold * met)
-    return math.ceil(math.log(1 - recall) / math.log(1 - met))
+    missed = max(1 - recall / (1 - SKETCH_MISS), 1e-9)
+    return math.ceil(math.log(missed) / math.log(1 - met))
+
+
+def equal_bytes(threshold: float) -> int:
+    """Equal bytes of two sketches from which a pair counts as near: as many as all but SKETCH_MISS of the
+    pairs at the threshold have. A byte is equal if the minima are, or by chance."""
+    p, fewer = threshold + (1 - threshold) / 256, 0.0
+    for k in range(SKETCH + 1):
+        fewer += math.comb(SKETCH, k) * p**k * (1 - p) ** (SKETCH - k)
+        if fewer > SKETCH_MISS:
+            return k
+    return SKETCH
 
 
 def follow(tokens: np.ndarray, nodes: np.ndarray, branch: float) -> np.ndarray:
@@ -159,7 +173,7 @@ def _equal(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return out
 
 
-def hang_together(sketches: np.ndarray) -> np.ndarray:
+def hang_together(sketches: np.ndarray, enough: int) -> np.ndarray:
     """Component of each sketch, named by a member, where pairs with enough equal bytes are edges.
     A component grows from its frontier, so those that are close to one member cost one comparison."""
     label, left = np.full(len(sketches), -1), np.arange(len(sketches))
@@ -172,13 +186,13 @@ def hang_together(sketches: np.ndarray) -> np.ndarray:
                 rest = np.flatnonzero(~near)
                 if not len(rest):
                     break
-                near[rest] = (_equal(sketches[frontier[s : s + 256]], sketches[left[rest]]) >= SKETCH_EQUAL).any(0)
+                near[rest] = (_equal(sketches[frontier[s : s + 256]], sketches[left[rest]]) >= enough).any(0)
             frontier, left = left[near], left[~near]
             label[frontier] = first
     return label
 
 
-def _meet(batch: pa.Table) -> pa.Table:
+def _meet(batch: pa.Table, enough: int) -> pa.Table:
     """Edges of the star of every component of every bucket (tile) in a shard."""
     key = np.stack([batch.column(c).to_numpy() for c in ("path", "ti", "tj")])
     order = np.lexsort(key[::-1])
@@ -190,7 +204,7 @@ def _meet(batch: pa.Table) -> pa.Table:
     for a, b in zip(starts, [*starts[1:], len(order)]):
         if b - a > 1:
             own = signatures[a:b]
-            label = hang_together(sketches[a:b])
+            label = hang_together(sketches[a:b], enough)
             for k in np.flatnonzero(label != np.arange(b - a)):
                 if own[k] != own[label[k]]:
                     edges.add((own[k], own[label[k]]))
@@ -307,7 +321,12 @@ def _tokens(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordB
 def link(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """Per row of docs (doc_id, text): doc_id, rid (hash of id and text), root (one value per group of
     linked documents, null without words) and n_links (documents at the threshold or above, copies
-    included)."""
+    included). Only this table stays in the shared folder."""
+    with scratch(docs.sparkSession):
+        return _link(docs, size, threshold, recall)
+
+
+def _link(docs: DataFrame, size: int, threshold: float, recall: float) -> DataFrame:
     rid = F.xxhash64("doc_id", "text")
     runs = runs_for(recall, threshold)
     rows = docs.select("doc_id", "text", rid.alias("rid"))
@@ -340,7 +359,8 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, rec
         members = members.unionByName(more)
     width = F.lit(max(64, records.count() // 2000))
     dealt = _shards(_tiles(members, "path", "size", "signature"), "path", width).select("shard", "path", "ti", "tj", "signature", "sketch")
-    edges = dealt.groupBy("shard").applyInArrow(_meet, "a binary, b binary")
+    enough = equal_bytes(threshold)
+    edges = dealt.groupBy("shard").applyInArrow(lambda t: _meet(t, enough), "a binary, b binary")
 
     groups = components(edges).select(F.col("node").alias("signature"), F.col("root").alias("group"))
     sizes = groups.groupBy(F.col("group").alias("_group")).agg(F.count(F.lit(1)).alias("size")).select(rekeyed("_group").alias("_group"), "size")
@@ -361,7 +381,7 @@ def link(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, rec
     )
     by_row = of_text.distinct().join(linked.select(rekeyed("signature").alias("_signature"), "root", "n_links"), F.col("signature") == F.col("_signature"), "left").select(F.col("rid").alias("_rid"), "root", "n_links")
     known = rows.select("doc_id", "rid").join(by_row, F.col("rid") == F.col("_rid"), "left").select("doc_id", "rid", "root", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    return materialise(known, "known")
+    return materialise(known, "known", keep=True)
 
 
 def join(docs: DataFrame, size: int = SHINGLE, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:

@@ -9,6 +9,8 @@ import operator
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -18,6 +20,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _OWN: dict[str, str] = {}
+#: The folder of the scratch block that is running.
+_SCRATCH: ContextVar[str | None] = ContextVar("scratch", default=None)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,17 +60,30 @@ def trim() -> None:
         found.malloc_trim(0)
 
 
-def store(df: DataFrame, name: str) -> str:
-    """Write df as Parquet to the shared folder; the path."""
-    path = f"{shared_dir(df.sparkSession)}/gridloom-{name}-{uuid.uuid4().hex}"
+def store(df: DataFrame, name: str, keep: bool = False) -> str:
+    """Write df as Parquet to the shared folder; the path. keep: outside of a scratch block."""
+    folder = None if keep else _SCRATCH.get()
+    path = f"{folder or shared_dir(df.sparkSession)}/gridloom-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return path
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: the lineage ends there, and a
     lost executor costs a re-read."""
-    return df.sparkSession.read.schema(df.schema).parquet(store(df, name))
+    return df.sparkSession.read.schema(df.schema).parquet(store(df, name, keep))
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """What is stored within is deleted at the end, but for what is marked to be kept."""
+    folder = f"{_SCRATCH.get() or shared_dir(spark)}/gridloom-scratch-{uuid.uuid4().hex}"
+    before = _SCRATCH.set(folder)
+    try:
+        yield
+    finally:
+        _SCRATCH.reset(before)
+        remove(spark, folder)
 
 
 def remove(spark: SparkSession, path: str) -> None:

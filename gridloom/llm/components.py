@@ -2,7 +2,8 @@
 
 Every round is two aggregations and two joins on nodes; nothing is gathered by node, so a node with
 any number of edges is split like any other join key. Rounds grow with the logarithm of a component's
-diameter."""
+diameter; they go on until only stars are left, as each round that changes an edge lowers the node it
+leads to."""
 
 from __future__ import annotations
 
@@ -12,13 +13,14 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import rekeyed, remove, store
 
 
-def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """edges (a, b): one row (node, root) per node with an edge; root is the smallest node."""
     spark = edges.sparkSession
     first = edges.where(F.col("a") != F.col("b")).select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     path = store(first, "edges")
     now = spark.read.schema(first.schema).parquet(path)
-    for _ in range(rounds):
+    settled = False
+    while not settled:
         # Large star: larger neighbours move to the smallest node around.
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
@@ -36,8 +38,5 @@ def components(edges: DataFrame, rounds: int = 30) -> DataFrame:
         ends = after.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(after.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
         unsettled = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where((F.col("up") > 1) | (F.col("up") + F.col("down") > 1))
         now = after
-        if not unsettled.limit(1).count():
-            break
-    else:
-        raise RuntimeError("components did not settle")
+        settled = not unsettled.limit(1).count()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())

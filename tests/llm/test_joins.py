@@ -103,6 +103,33 @@ def test_runs_reach_the_recall_at_every_depth(depth):
     assert 1 - (1 - met) ** J.runs_for(J.RECALL, J.THRESHOLD) >= J.RECALL
 
 
+@pytest.mark.parametrize("threshold", [0.5, 0.8])
+def test_sketches_of_pairs_at_the_threshold_agree(threshold):
+    rng = np.random.default_rng(4)
+    missed = 0
+    for _ in range(1500):
+        tokens = rng.integers(0, 2**63, 120).astype(np.uint64)
+        own = int(round(60 * (1 - threshold) / (1 + threshold)))  # of each set of 60, all that isn't shared
+        a, b = tokens[:60], np.append(tokens[own:60], tokens[60 : 60 + own])
+        x, y = (np.frombuffer(J.sketch(np.sort(t)), np.uint8) for t in (a, b))
+        missed += (x == y).sum() < J.equal_bytes(threshold)
+    assert missed <= 4  # 0.3 are expected
+    assert J.equal_bytes(0.8) == 17 and J.equal_bytes(1.0) == J.SKETCH and J.equal_bytes(0.0) == 0
+
+
+def test_only_the_result_stays_in_the_shared_folder(spark):
+    import os
+
+    from gridloom.llm.common import shared_dir
+
+    folder = shared_dir(spark)
+    before = set(os.listdir(folder))
+    found = J.link(spark.createDataFrame(near_copies(3, groups=4), "doc_id long, text string"))
+    left = set(os.listdir(folder)) - before
+    assert len(left) == 1 and left.pop().startswith("gridloom-known-")
+    assert found.count() > 0
+
+
 def test_overlaps():
     rng = np.random.default_rng(0)
     sets = [np.unique(rng.integers(0, 60, n).astype(np.uint64)) for n in (1, 5, 30, 50, 0)]
