@@ -43,8 +43,9 @@ DENSE = 0.4
 #: Bytes of a sketch, one minimum each; share of pairs at the threshold that sketches may miss, which the
 #: number of runs makes up for.
 SKETCH, SKETCH_MISS = 32, 2e-4
-#: Records on one side of a tile.
-TILE = 2048
+#: Records on one side of a tile at most; groups of over FINE records, whose tiles hold whole sets, are dealt
+#: out as well, until they have SPREAD chunks. So a set is sent SPREAD or n / TILE times.
+TILE, FINE, SPREAD = 2048, 512, 8
 
 U = np.uint64
 _MIX = (U(0xBF58476D1CE4E5B9), U(0x94D049BB133111EB))
@@ -213,10 +214,13 @@ def _meet(batch: pa.Table, enough: int) -> pa.Table:
     return pa.table([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
 
 
-def _tiles(rows: DataFrame, group: str, size: str, member: str) -> DataFrame:
-    """Deals rows of groups of more than TILE members out to tiles: each pair of the group's chunks is
-    a tile. Adds shard, chunk, ti, tj; small groups are one tile each, many to a shard."""
-    chunks = F.ceil(F.col(size) / TILE).cast("int")
+def _tiles(rows: DataFrame, group: str, size: str, member: str, fine: bool = False) -> DataFrame:
+    """Deals rows of groups of more than TILE (fine: FINE) members out to tiles: each pair of the group's
+    chunks is a tile. Adds chunk, ti, tj, many; small groups are one tile each, many to a shard."""
+    chunks = F.ceil(F.col(size) / TILE)
+    if fine:
+        chunks = F.greatest(chunks, F.least(F.ceil(F.col(size) / FINE), F.lit(SPREAD).cast("long")))
+    chunks = chunks.cast("int")
     chunk = F.pmod(F.xxhash64(F.lit(7), member), chunks).cast("int")
     cut = rows.withColumn("chunk", chunk).withColumn("other", F.explode(F.sequence(F.lit(0), chunks - 1)))
     cut = cut.withColumn("ti", F.least("chunk", "other")).withColumn("tj", F.greatest("chunk", "other")).drop("other")
@@ -368,7 +372,7 @@ def _link(docs: DataFrame, size: int, threshold: float, recall: float) -> DataFr
     chosen = materialise(groups, "groups")
     # By merge at every size: a broadcast of small groups would make a small run a different plan.
     tokens = rows.select("rid", "text").hint("merge").join(chosen, "rid").select("text", "signature", "group", "size", "copies").mapInArrow(lambda batches: _tokens(batches, size), "signature binary, group binary, size bigint, copies bigint, tokens binary")
-    tiles = _shards(_tiles(tokens, "group", "size", "signature"), "group", width)
+    tiles = _shards(_tiles(tokens, "group", "size", "signature", fine=True), "group", width)
     verified = materialise(tiles.select("shard", "group", "ti", "tj", "signature", "chunk", "copies", "tokens", "many").groupBy("shard").applyInArrow(lambda t: _verify(t, size, threshold), VERIFIED), "verified")
     counts = verified.groupBy("signature").agg(F.sum("n").alias("n"))
     # A group in one tile is complete there; only what was dealt out needs joining up.

@@ -53,9 +53,10 @@ def near_copies(seed, groups=25, passage=True):
     return rows
 
 
-@pytest.mark.parametrize("tile", [2048, 5])
-def test_join(spark, monkeypatch, tile):
+@pytest.mark.parametrize("tile, fine", [(2048, 512), (2048, 4), (5, 512)])
+def test_join(spark, monkeypatch, tile, fine):
     monkeypatch.setattr(J, "TILE", tile)
+    monkeypatch.setattr(J, "FINE", fine)
     rows = near_copies(tile)
     found = J.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
     assert Counter(map(tuple, found)) == brute(rows)
